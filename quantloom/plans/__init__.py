@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from quantloom.plans import records
+    from quantloom.plans import records, relations, statistics
 
     found: dict = {}
-    for module in (records,):
+    for module in (records, statistics, relations):
         found |= module.QUERIES
     return found
