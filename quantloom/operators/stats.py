@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import normal
 from quantloom.operators.scan import running
+from quantloom.runtime import written
 
 #: Default lambdas, and the q-values of the summary table.
 LAMBDAS = tuple(round(0.1 + 0.05 * i, 2) for i in range(8))
@@ -128,7 +129,8 @@ def error_table(rows: DataFrame, score: str, decoy: str, keys: Sequence[str] = (
     Without decoys there are no p-values and the metrics are null; without targets there is no row. Nulls and
     NaN don't count. Each key has a model of its own.
     """
-    ranked = decoy_ranks(score_values(rows, score, decoy, keys), keys)
+    # Written once: the distinct values are read by several scans, whose plans then know their true size.
+    ranked = decoy_ranks(written(score_values(rows, score, decoy, keys)), keys)
     levels = p_levels(ranked, keys)
     null_share = pi0(levels, keys, lambdas, method)
     told = level_metrics(levels, null_share, keys, pfdr)
@@ -197,6 +199,7 @@ def with_local_fdr(levels: DataFrame, keys: Sequence[str] = (), transform: str =
     The density of the transformed p-values is binned by an aggregate, smoothed on a grid of
     at most ``MAX_GRID`` points, and comes back as one cubic piece per bin, which levels look up by an equi join.
     """
+    levels = written(levels)
     p = F.least(F.greatest("pvalue", F.lit(eps)), F.lit(1 - eps))
     x = normal.quantile(p) if transform == "probit" else F.log((F.col("pvalue") + eps) / (1 - F.col("pvalue") + eps))
     placed = levels.withColumn("_x", x)
@@ -237,7 +240,7 @@ def with_local_fdr(levels: DataFrame, keys: Sequence[str] = (), transform: str =
     density = F.col("c0") + u * (F.col("c1") + u * (F.col("c2") + u * F.col("c3")))
     f0 = normal.density(F.col("_x")) if transform == "probit" else F.exp("_x") / F.pow(1 + F.exp("_x"), F.lit(2.0))
     raw = F.try_divide(F.col("pi0") * f0, density)
-    met = met.withColumn("_pep", F.least(raw, F.lit(1.0)) if truncate else raw).select(*levels.columns, "_pep")
+    met = written(met.withColumn("_pep", F.least(raw, F.lit(1.0)) if truncate else raw).select(*levels.columns, "_pep"))
     if not monotone:
         return met.withColumnRenamed("_pep", "pep")
     return running(met, "above", {"pep": ("max", "_pep")}, keys).drop("_pep")

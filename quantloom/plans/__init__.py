@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from quantloom.plans import records, relations, statistics
+    from quantloom.plans import inference, learning, quantification, records, relations, statistics
 
     found: dict = {}
-    for module in (records, statistics, relations):
+    for module in (records, statistics, relations, inference, quantification, learning):
         found |= module.QUERIES
     return found
