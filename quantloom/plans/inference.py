@@ -90,10 +90,10 @@ def _inferred(spark: SparkSession, sf: str, grouped: bool) -> DataFrame:
     return found.select("feature_id", "peptide_id", F.round("precursor_peakgroup_pep", 9).alias("precursor_peakgroup_pep"), "pep", F.round("qvalue", 7).alias("qvalue"))
 
 
-@QUERIES.add("bayes_log_space", f"{_FORMS_SQL} SELECT feature_id, peptide_id AS hypothesis, round(post, 7) AS posterior FROM p")
+@QUERIES.add("bayes_log_space", f"{_FORMS_SQL} SELECT feature_id, peptide_id AS hypothesis, round(post, 12) AS posterior FROM p")
 def bayes_log_space(spark: SparkSession, sf: str) -> DataFrame:
     model = bayes.transition_model(_transitions(spark, sf).join(_precursors(spark, sf), "feature_id"))
-    return bayes.posteriors(model, log_space=True).select("feature_id", "hypothesis", F.round("posterior", 7).alias("posterior"))
+    return bayes.posteriors(model, log_space=True).select("feature_id", "hypothesis", F.round("posterior", 12).alias("posterior"))
 
 
 _SUPPORT_SQL = f"""SELECT feature_id, peptide_id, count(DISTINCT CASE WHEN bmask = 1 THEN transition_id END) AS supporting_transitions,
