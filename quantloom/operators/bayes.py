@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,18 +46,17 @@ def posteriors(model: DataFrame, keys: Sequence[str] = ("feature_id",), log_spac
     Raw products may underflow to 0, which gives posterior 0; ``log_space`` keeps them apart. Null evidence is skipped.
     """
     evidence = clipped(F.col("evidence"), eps)
+    own = Window.partitionBy(*keys)  # as many rows as a feature has hypotheses
     if not log_space:
         each = model.groupBy(*keys, "hypothesis").agg((F.product(evidence) * F.min("prior")).alias("likelihood_prior"))
-        total = each.groupBy(*keys).agg(F.sum("likelihood_prior").alias("likelihood_sum"))
-        return each.join(total, list(keys)).withColumn("posterior", F.coalesce(F.try_divide("likelihood_prior", "likelihood_sum"), F.lit(0.0)))
+        told = each.withColumn("likelihood_sum", F.sum("likelihood_prior").over(own))
+        return told.withColumn("posterior", F.coalesce(F.try_divide("likelihood_prior", "likelihood_sum"), F.lit(0.0)))
     log_sum = F.sum(F.when(evidence > 0, F.log(evidence)).otherwise(0.0))
     zero = F.max((evidence <= 0).cast("int")) == 1
     each = model.groupBy(*keys, "hypothesis").agg(F.when(zero | (F.min("prior") <= 0), F.lit(None)).otherwise(log_sum + F.log(F.min("prior"))).alias("_log"))
-    top = each.groupBy(*keys).agg(F.max("_log").alias("_top"))
-    shifted = each.join(top, list(keys)).withColumn("_w", F.coalesce(F.exp(F.col("_log") - F.col("_top")), F.lit(0.0)))
-    total = shifted.groupBy(*keys).agg(F.sum("_w").alias("_sum"))
-    joined = shifted.join(total, list(keys))
-    return joined.select(
+    shifted = each.withColumn("_top", F.max("_log").over(own)).withColumn("_w", F.coalesce(F.exp(F.col("_log") - F.col("_top")), F.lit(0.0)))
+    told = shifted.withColumn("_sum", F.sum("_w").over(own))
+    return told.select(
         *keys,
         "hypothesis",
         F.coalesce(F.exp("_log"), F.lit(0.0)).alias("likelihood_prior"),
@@ -88,16 +87,26 @@ def peptidoform_inference(transitions: DataFrame, precursors: DataFrame, grouped
 def support_metrics(transitions: DataFrame, intensities: DataFrame | None = None) -> DataFrame:
     """Per feature and peptidoform: how many transitions support it, alone and with phospho loss, and their median isotope overlap."""
     forms = transitions.where("peptide_id <> -1")
-    support = F.col("bmask") == 1
     has = lambda c: F.col(c) if c in transitions.columns else F.lit(None)
-    counted = lambda cond, name: F.count_distinct(F.when(support & cond, F.col("transition_id"))).alias(name)
+    support = F.col("bmask") == 1
+    flag = lambda cond: F.coalesce((support & cond).cast("int"), F.lit(0))
     once = forms.select("feature_id", "peptide_id", "transition_id", "bmask", *[c for c in ("n_mapped_peptides", "has_phospho_loss", "isotope_overlap_score") if c in transitions.columns]).distinct()
-    told = once.groupBy("feature_id", "peptide_id").agg(
-        counted(F.lit(True), "supporting_transitions"),
-        counted(has("n_mapped_peptides") == 1, "unique_supporting_transitions"),
-        counted(has("has_phospho_loss") == 1, "phospho_loss_supporting_transitions"),
-        F.median(F.when(support, has("isotope_overlap_score").cast("double"))).alias("median_supporting_isotope_overlap"),
+    # One row per transition first: plain sums then count distinct transitions, without a copy of the rows per count.
+    per = once.groupBy("feature_id", "peptide_id", "transition_id").agg(
+        F.max(flag(F.lit(True))).alias("_s"),
+        F.max(flag(has("n_mapped_peptides") == 1)).alias("_u"),
+        F.max(flag(has("has_phospho_loss") == 1)).alias("_l"),
+        F.collect_list(F.when(support, has("isotope_overlap_score").cast("double"))).alias("_o"),
+    )
+    told = per.groupBy("feature_id", "peptide_id").agg(
+        F.sum("_s").alias("supporting_transitions"),
+        F.sum("_u").alias("unique_supporting_transitions"),
+        F.sum("_l").alias("phospho_loss_supporting_transitions"),
+        F.flatten(F.collect_list("_o")).alias("_all"),
     )
+    ordered, n = F.array_sort("_all"), F.size("_all")
+    median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    told = told.withColumn("median_supporting_isotope_overlap", F.when(n > 0, median)).drop("_all")
     return told if intensities is None else told.join(intensities.select("feature_id", "feature_ms2_intensity").distinct(), "feature_id", "left")
 
 

@@ -288,6 +288,7 @@ def unified(raw: DataFrame, targets: Mapping[str, str], min_likeness: float = 0.
     named = named.select("feed_id", "file_id", "field", target_of(F.coalesce("origin", "field"), F.col("field")).alias("target"))
     cells = long.where("field IS NOT NULL").join(named, ["feed_id", "file_id", "field"])
     lines = cells.groupBy("feed_id", "file_id", "level", "line_no")
-    wide = [F.max(F.when((F.col("target") == t) & F.col("kind").isNotNull(), F.col("value"))).try_cast(kind).alias(t) for t, kind in targets.items()]
+    typed = lambda c, kind: c.try_cast("decimal(38,6)").try_cast(kind) if kind in ("long", "bigint", "int") else c.try_cast(kind)
+    wide = [typed(F.max(F.when((F.col("target") == t) & F.col("kind").isNotNull(), F.col("value"))), kind).alias(t) for t, kind in targets.items()]
     others = F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("target").isNull() & F.col("value").isNotNull(), F.struct("field", "value")))))
     return lines.agg(*wide, others.alias("others"))

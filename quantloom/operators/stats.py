@@ -252,6 +252,7 @@ def nearest(values: DataFrame, value: str, basis: DataFrame, at: str) -> DataFra
     Equal basis values must hold equal rows, of which one is met. Values are compared as floats of 32 bits.
     """
     columns = [c for c in basis.columns if c != at]
+    basis = written(basis)  # distinct values, read twice
     one = basis.where(F.col(at).isNotNull()).groupBy(F.col(at).cast("float").alias("_v")).agg(F.first(F.struct(F.col(at), *columns)).alias("_row"))
     wanted = values.where(F.col(value).isNotNull()).select(F.col(value).cast("float").alias("_v")).distinct()
     both = one.select("_v", F.lit(1).alias("_is")).unionByName(wanted.select("_v", F.lit(0).alias("_is"))).groupBy("_v").agg(F.max("_is").alias("_is"))
