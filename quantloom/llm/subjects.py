@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Size of the hashed feature space and of the labelled sample that is read for training.
 BUCKETS, MAX_LABELLED = 1 << 17, 8_000
+#: Words of a stretch of text without full stops.
+STRETCH = 14
 #: Parts of the sample for cross-fitting.
 FOLDS = 4
 #: A subject fills about a fifth of the text or more.
@@ -28,14 +30,19 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n\s*\n\s*|[。]|</?p>|<br ?/?>"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
-
-
 def words(sentence: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(sentence)]
 
 
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence; texts without full stops are read in stretches of ``STRETCH`` words."""
+    out = []
+    for s in _SENTENCE.split(text):
+        if s and (tokens := words(s)):
+            out += [tokens] if len(tokens) <= 2 * STRETCH else [tokens[i : i + STRETCH] for i in range(0, len(tokens), STRETCH)]
+    return out
+
+
 @lru_cache(maxsize=400_000)
 def _bucket(gram: str) -> int:
     return zlib.crc32(gram.encode("utf-8", "replace")) % BUCKETS
@@ -77,12 +84,10 @@ class Model:
         import numpy as np
 
         total, mine = 0, np.zeros(len(self.subjects) + 1)
-        for s in sentences(text):
-            tokens = words(s)
-            if tokens:
-                size = sum(map(len, tokens))
-                total += size
-                mine[self.sentence_class(tokens)] += size
+        for tokens in sentences(text):
+            size = sum(map(len, tokens))
+            total += size
+            mine[self.sentence_class(tokens)] += size
         return mine[:-1] / total if total else mine[:-1]
 
     def subjects_of(self, text: str) -> list[str]:
@@ -150,11 +155,9 @@ def train(labelled: list[tuple[int, str, list[str]]], subjects: list[str], round
     for d, (_, text, names) in enumerate(labelled):
         own = sorted({at[n] for n in names if n in at})
         docs.append(own)
-        for s in sentences(text or ""):
-            grams = features(words(s))
-            if grams:
-                rows.append(grams)
-                doc_of.append(d)
+        for tokens in sentences(text or ""):
+            rows.append(features(tokens))
+            doc_of.append(d)
     doc_of = np.array(doc_of, np.int64)
     if not rows:
         return Model(subjects, np.zeros((BUCKETS, classes), np.float32), np.eye(1, classes, classes - 1, dtype=np.float32)[0], [MIN_SHARE] * len(subjects))
