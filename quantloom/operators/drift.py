@@ -197,20 +197,26 @@ def schema_changes(raw: DataFrame, long: DataFrame | None = None) -> DataFrame:
     value have no type and are never retyped. Feeds with one file, and empty tables, give no row.
     """
     long = written(line_fields(raw)) if long is None else long
-    ordered = file_order(long)
+    ordered = written(file_order(long))
     files = ordered.where("before IS NOT NULL").select("feed_id", "file_id", "before")
-    prof = profiles(long, ordered)
+    prof = written(profiles(long, ordered))
     links = files.select(F.col("feed_id").alias("_feed"), F.col("before").alias("_before"), F.col("file_id").alias("_next"))
     follows = (F.col("feed_id") == F.col("_feed")) & (F.col("file_id") == F.col("_before"))
     old = prof.join(links, follows).select("feed_id", F.col("_next").alias("file_id"), "field", "kind")
     new = prof.join(files.drop("before"), ["feed_id", "file_id"], "left_semi")
     gathered = lambda df, name: df.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("field", "kind")).alias(name))
 
-    # Values are compared for fields that came or went, and for those that stayed as a yardstick: as sets, so a field costs at most its distinct values.
-    values = long.where("kind IS NOT NULL").select("feed_id", "file_id", "field", "value").distinct()
-    values = values.join(prof.select("feed_id", "file_id", "field"), ["feed_id", "file_id", "field"], "left_semi")
-    new_values = values.join(files.drop("before"), ["feed_id", "file_id"], "left_semi")
-    old_values = values.join(links, follows).select(
+    # Only where fields both came and went can one be renamed. There values are compared, also of the fields that stayed, as a yardstick: as
+    # sets, so a field costs at most its distinct values.
+    here = ["feed_id", "file_id"]
+    gone = old.join(new, [*here, "field"], "left_anti").select(*here).distinct()
+    open_files = written(new.join(old, [*here, "field"], "left_anti").select(*here).distinct().join(gone, here, "left_semi").join(files, here))
+    needed = open_files.select(*here).union(open_files.select("feed_id", "before")).distinct()
+    values = long.where("kind IS NOT NULL").join(needed, here, "left_semi").select(*here, "field", "value").distinct()
+    values = values.join(prof.select(*here, "field"), [*here, "field"], "left_semi")
+    new_values = values.join(open_files.drop("before"), here, "left_semi")
+    open_links = open_files.select(F.col("feed_id").alias("_feed"), F.col("before").alias("_before"), F.col("file_id").alias("_next"))
+    old_values = values.join(open_links, follows).select(
         "feed_id", F.col("_next").alias("file_id"), F.col("field").alias("old_field"), "value"
     )
     common = old_values.join(new_values, ["feed_id", "file_id", "value"]).groupBy("feed_id", "file_id", "old_field", "field").agg(F.count(F.lit(1)).alias("n"))
