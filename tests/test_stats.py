@@ -158,7 +158,7 @@ def test_tables_and_cutoff(rows):
     assert stats.find_cutoff(table, 0.1).first().cutoff == best
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(-20, 20)), min_size=1, max_size=40, unique=True))
 def test_running_in_parts_equals_one_window(spark, data):
     df = spark.createDataFrame([(k, v, v % 5 - 1) for k, v in data], "k int, v int, x int")
