@@ -1,7 +1,7 @@
 """Training, validation and test splits that never part records which belong together.
 
 Components are found by alternating large-star and small-star steps; their label vectors are
-folded into a bounded number of cells, which grouped iterative stratification places, the
+added up over cells of entities, which grouped iterative stratification places, the
 rarest outstanding label first.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators.skew import frequent_keys, join_by_key
-from quantloom.runtime import MAX_BROADCAST_ROWS, cut
+from quantloom.runtime import MAX_BROADCAST_ROWS, cut, written
 
 #: Edges below which no key can be large enough to matter, so hot keys aren't looked for.
 FEW_EDGES = 1_000_000
@@ -85,11 +85,19 @@ def precursor_sets(precursors: DataFrame, mapping: DataFrame) -> DataFrame:
     return found.join(precursors.select(F.col("id").alias("precursor_id")).distinct(), "precursor_id", "left_semi")
 
 
-def stratify(vectors: dict[str, dict[str, float]], shares: Sequence[float]) -> dict[str, int]:
+def stratify(
+    vectors: dict[str, dict[str, float]],
+    shares: Sequence[float],
+    given: dict[str, dict[int, float]] | None = None,
+    sizes: dict[str, float] | None = None,
+    need_all: Sequence[float] | None = None,
+) -> dict[str, int]:
     """Place every cell (name: rows by label) into a split: iterative stratification for whole groups.
 
     The label with the fewest outstanding rows comes first; its cells, largest first, go each to the
-    split that needs this label most (then: most rows at all, then the earlier split).
+    split that needs this label most (then: most rows at all, then the earlier split). Where cells were placed before,
+    ``given`` has their rows by label and split, and ``need_all`` the rows each split still needs; where vectors have
+    only some of the labels, ``sizes`` has all rows of a cell.
     """
     import numpy as np
 
@@ -100,8 +108,15 @@ def stratify(vectors: dict[str, dict[str, float]], shares: Sequence[float]) -> d
     for i, c in enumerate(cells):
         for label, n in vectors[c].items():
             m[i, at[label]] += n
+    before = np.zeros((len(shares), len(labels)))
+    for label, rows in (given or {}).items():
+        for k, n in rows.items():
+            if label in at:
+                before[k, at[label]] += n
+    size = m.sum(axis=1) if sizes is None else np.array([sizes[c] for c in cells], float)
     share = np.asarray(shares, float)[:, None]
-    need, need_all = share * m.sum(axis=0), share[:, 0] * m.sum()
+    need = share * (m.sum(axis=0) + before.sum(axis=0)) - before
+    need_all = share[:, 0] * m.sum() if need_all is None else np.array(need_all, float)
     left, out = m.sum(axis=0), np.ones(len(cells), bool)
     placed: dict[str, int] = {}
     while out.any():
@@ -117,12 +132,42 @@ def stratify(vectors: dict[str, dict[str, float]], shares: Sequence[float]) -> d
             s = max(range(len(shares)), key=lambda k: (wish[k], need_all[k], -k))
             placed[cells[i]] = s
             need[s] -= m[i]
-            need_all[s] -= m[i].sum()
+            need_all[s] -= size[i]
             left -= m[i]
             out[i] = False
     return placed
 
 
+#: Cells of a label at the least, so that a cell is about the smallest share (a tenth) of a label's own rows or less.
+LABEL_CELLS = 10
+
+
+def _placed(vectors: DataFrame, totals: DataFrame, passes: int, total: int, shares: Sequence[float]) -> dict[str, int]:
+    """Splits of all cells from their vectors ``_cell, _label, n``; ``totals`` has the pass of each label."""
+    if passes <= 1:
+        cells: dict[str, dict[str, float]] = {}
+        for r in vectors.collect():
+            cells.setdefault(r["_cell"], {})[r["_label"]] = r["n"]
+        return stratify(cells, shares)
+    vectors = written(vectors.join(F.broadcast(totals), "_label").select("_cell", "_label", "n", "_pass").repartitionByRange("_pass", "_cell"))
+    sizes = {r["_cell"]: r["n"] for r in vectors.groupBy("_cell").agg(F.sum("n").alias("n")).collect()}
+    placed: dict[str, int] = {}
+    need_all = [share * total for share in shares]
+    for k in range(passes):
+        known = F.broadcast(vectors.sparkSession.createDataFrame(list(placed.items()), "_cell string, _split int"))
+        met = vectors.where(F.col("_pass") == k).join(known, "_cell", "left")
+        cells, given = {}, {}
+        for r in met.groupBy(F.when(F.col("_split").isNull(), F.col("_cell")).alias("_open"), "_label", "_split").agg(F.sum("n").alias("n")).collect():
+            if r["_open"] is None:
+                given.setdefault(r["_label"], {})[r["_split"]] = r["n"]
+            else:
+                cells.setdefault(r["_open"], {})[r["_label"]] = r["n"]
+        for c, s in stratify(cells, shares, given, sizes, need_all).items():
+            placed[c] = s
+            need_all[s] -= sizes[c]
+    return placed
+
+
 def grouped_splits(
     records: DataFrame,
     entity: str,
@@ -135,34 +180,32 @@ def grouped_splits(
     """``records`` with a column ``split`` such that all records of an entity share it and ``shares`` hold for all labels.
 
     A record without entity is an entity of its own. An entity with more than a ``max_cells``-th of the
-    rows is a cell for itself; all others are folded into cells by their rarest label and a hash of
-    the entity. Only the cells' label vectors (at most about 2 * ``max_cells`` times ``max_labels``
-    numbers) reach the driver; beyond ``max_labels`` labels these are folded by hash.
+    rows is a cell for itself; all others are put into cells by their rarest label and a hash of
+    the entity, at least ``LABEL_CELLS`` for each label. Labels are never folded: they are taken rarest first, ``max_labels`` in
+    a pass, and a cell is placed in the pass of its rarest label. Of a pass only the vectors of its own cells over its own labels
+    reach the driver; beside these it holds the totals of the labels and the places of the cells.
     """
     names, spark = list(shares), records.sparkSession
     label = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(c) for c in labels]))
     rows = records.withColumn("_label", label)
-    found = rows.select("_label").distinct().limit(max_labels + 1).count()
-    if found > max_labels:
-        found, rows = max_labels, rows.withColumn("_label", F.pmod(F.xxhash64("_label"), F.lit(max_labels)).cast("string"))
-    per_label = max(4, max_cells // max(1, found))
+    per_label = max(LABEL_CELLS, max_cells // max(1, rows.select("_label").distinct().count()))
     cell = lambda key, rarest: F.concat(F.lit("cell "), F.pmod(F.xxhash64(key, F.lit(7)), F.lit(per_label)).cast("string"), F.lit(" "), F.col(rarest))
     counted = cut(rows.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("_of"), "_label").agg(F.count(F.lit(1)).alias("n")))
     # A record without entity has one label, so its cell follows from the row alone and needs no join.
     alone = rows.where(F.col(entity).isNull()).withColumn("_cell", cell(record, "_label"))
     alone_counts = cut(alone.groupBy("_cell", "_label").agg(F.count(F.lit(1)).alias("n")))
-    totals = counted.select("_label", "n").union(alone_counts.select("_label", "n")).groupBy("_label").agg(F.sum("n").alias("_total"))  # at most max_labels rows
-    total = totals.agg(F.coalesce(F.sum("_total"), F.lit(0)).alias("t")).first()["t"]
+    sums = counted.select("_label", "n").union(alone_counts.select("_label", "n")).groupBy("_label").agg(F.sum("n").alias("_total"))
+    by_rarity = sorted((r["_total"], r["_label"]) for r in sums.collect())  # a row a label
+    total = sum(n for n, _ in by_rarity)
+    totals = spark.createDataFrame([(name, n, i // max_labels) for i, (n, name) in enumerate(by_rarity)], "_label string, _total long, _pass int")
     entities = cut(
         counted.join(F.broadcast(totals), "_label")
         .groupBy("_of")
         .agg(F.sum("n").alias("_size"), F.min_by("_label", F.struct("_total", "_label")).alias("_rarest"))
         .select("_of", F.when(F.col("_size") * max_cells > total, F.concat(F.lit("one "), F.col("_of").cast("string"))).otherwise(cell("_of", "_rarest")).alias("_cell"))
     )
-    vectors: dict[str, dict[str, float]] = {}
-    for r in counted.join(entities, "_of").select("_cell", "_label", "n").union(alone_counts).groupBy("_cell", "_label").agg(F.sum("n").alias("n")).collect():
-        vectors.setdefault(r["_cell"], {})[r["_label"]] = r["n"]
-    placed = stratify(vectors, [shares[k] for k in names])
+    vectors = counted.join(entities, "_of").select("_cell", "_label", "n").union(alone_counts).groupBy("_cell", "_label").agg(F.sum("n").alias("n"))
+    placed = _placed(vectors, totals, -(-len(by_rarity) // max_labels), total, [shares[k] for k in names])
     where = F.broadcast(spark.createDataFrame([(c, names[s]) for c, s in placed.items()] or [("", names[0])], "_cell string, split string"))
     decided = entities.join(where, "_cell").select("_of", "split")
     out = [*records.columns, "split"]

@@ -82,3 +82,20 @@ def test_many_labels_are_folded(rows):
     df = rows("id long, entity long, run long", [(i, i // 2, i % 500) for i in range(2000)])
     got = splits.grouped_splits(df, "entity", "id", ["run"], splits.SHARES, max_cells=64, max_labels=16).collect()
     assert len(got) == 2000 and 0.7 < sum(r.split == "train" for r in got) / 2000 < 0.9
+
+
+def test_every_run_and_decoy_value_is_in_every_split(rows):
+    """300 (run, decoy) labels, more than are placed in one pass; the decoys of a run are few and have entities of their own."""
+    data = [(f"{run}-{i}", run * 1000 + 500 + i if i < 20 else run // 3 * 1000 + i, run, int(i < 20)) for run in range(150) for i in range(80)]
+    df = rows("id string, entity long, run long, decoy int", data)
+    got = splits.grouped_splits(df, "entity", "id", ["run", "decoy"], splits.SHARES).collect()
+    assert len(got) == len(data)
+    by, of = {}, {}
+    for r in got:
+        by.setdefault((r.run, r.decoy), []).append(r.split)
+        of.setdefault(r.entity, set()).add(r.split)
+    assert all(len(s) == 1 for s in of.values())
+    assert len(by) == 300 and all(set(s) == set(splits.SHARES) for s in by.values())
+    for decoy in (0, 1):
+        own = [r.split for r in got if r.decoy == decoy]
+        assert all(abs(own.count(name) / len(own) - share) < 0.04 for name, share in splits.SHARES.items())
