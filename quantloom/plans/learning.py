@@ -70,7 +70,7 @@ def lda_scores(spark: SparkSession, sf: str) -> DataFrame:
 @QUERIES.add("semi_supervised_scores")
 def semi_supervised_scores(spark: SparkSession, sf: str) -> DataFrame:
     data = _prepared(spark, sf)
-    model = learn.learn(data, folds=2, rounds=2)
+    model = learn.learn(data)
     return rounded(learn.apply(data, model), 4)
 
 
@@ -78,14 +78,14 @@ def semi_supervised_scores(spark: SparkSession, sf: str) -> DataFrame:
 def svm_scores(spark: SparkSession, sf: str) -> DataFrame:
     data = _prepared(spark, sf)
     scaled = learn.standardised(data.rows, data.columns)
-    model = learn.fit_svm(scaled, data.columns, max_iter=20)
+    model = learn.fit_svm(scaled, data.columns)
     return scaled.select("group", "decoy", *TIES, F.round(model.score(), 4).alias("score"))
 
 
 @QUERIES.add("boosted_tree_scores")
 def boosted_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     data = _prepared(spark, sf)
-    _, scored = learn.fit_trees(data.rows, data.columns, trees=5, depth=3)
+    _, scored = learn.fit_trees(data.rows, data.columns)
     return scored(data.rows).select("group", "decoy", *TIES, F.round("score", 4).alias("score"))
 
 

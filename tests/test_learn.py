@@ -84,3 +84,21 @@ def test_stream_goes_on_where_it_stopped(spark, rows, tmp_path):
     rows("id int, a double", [(3, 4.0)]).write.mode("append").parquet(folder)
     run()
     assert sorted((r.id, r.score) for r in spark.read.parquet(out).collect()) == [(1, 2.0), (3, 8.0)]
+
+
+@pytest.mark.parametrize("query, learner", [("semi_supervised_scores", "learn"), ("svm_scores", "fit_svm"), ("boosted_tree_scores", "fit_trees")])
+def test_queries_learn_with_the_defaults(data, monkeypatch, query, learner):
+    from quantloom.plans import learning
+
+    class Seen(Exception):
+        pass
+
+    def record(*args, **settings):
+        raise Seen(settings)
+
+    prepared = learn.prepare(data, "group_id", "decoy", ["i"])
+    monkeypatch.setattr(learning, "_prepared", lambda spark, sf: prepared)
+    monkeypatch.setattr(learn, learner, record)
+    with pytest.raises(Seen) as seen:
+        learning.QUERIES[query].run(None, "")
+    assert seen.value.args == ({},)
