@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.scan import running
+from quantloom.runtime import written
+
 
 def pivoted(rows: DataFrame, entity: Sequence[str], run: str, value: str, runs: Sequence[str]) -> DataFrame:
     """Mean ``value`` per entity in one column per run; the runs are given, so no scan looks for them."""
@@ -39,21 +42,35 @@ def median_normalised(rows: DataFrame, run: str, value: str, level_to_median: bo
     return met.withColumn(value, scaled * F.col("_mm") if level_to_median else scaled).select(*rows.columns)
 
 
-def quantile_normalised(rows: DataFrame, run: str, value: str, ties: Sequence[str], grid: int = 1000) -> DataFrame:
-    """Each value replaced by the mean over runs of the value at the same quantile, on a grid of ``grid`` steps.
+def quantile_normalised(rows: DataFrame, run: str, value: str, ties: Sequence[str]) -> DataFrame:
+    """Each value replaced by the mean over runs of the value at the same rank (classical quantile normalisation). Nulls stay null.
 
-    Classical quantile normalisation; with fewer rows than steps in each run it is exact up to interpolation. Nulls stay null.
+    The reference has as many ranks as the longest run; ranks of shorter runs lie between these, and values between two ranks on a
+    straight line. Ranks come from a scan over distinct values, and all joins are by rank, so that no run must fit into one task.
     """
-    steps = [i / grid for i in range(grid + 1)]
-    per_run = rows.groupBy(run).agg(F.percentile(value, F.array(*map(F.lit, steps))).alias("_q"))
-    mean = per_run.select(F.posexplode("_q").alias("_i", "_v")).groupBy("_i").agg(F.avg("_v").alias("_v"))
-    reference = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_ref"))
-    order = Window.partitionBy(run).orderBy(F.col(value).asc_nulls_last(), *ties)
-    ranked = rows.withColumn("_p", F.when(F.col(value).isNotNull(), (F.row_number().over(order) - 1) / F.greatest(F.count(value).over(Window.partitionBy(run)) - 1, F.lit(1)) * grid))
-    at = F.least(F.floor("_p"), F.lit(grid - 1)).cast("int")
-    met = ranked.join(F.broadcast(reference))
-    low, high = F.element_at("_ref", at + 1), F.element_at("_ref", at + 2)
-    return met.withColumn(value, F.when(F.col("_p").isNotNull(), low + (high - low) * (F.col("_p") - at))).select(*rows.columns)
+    rows = written(rows)
+    known = rows.where(F.col(value).isNotNull())
+    counts = known.groupBy(F.col(run).alias("_run"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_same"))
+    sizes = counts.groupBy(F.col("_run").alias("_of")).agg(F.sum("_same").alias("_n"))
+    sizes = sizes.join(F.broadcast(sizes.agg(F.max("_n").alias("_most"))))  # one row a run
+    levels = running(counts, "_value", {"_to": ("sum", "_same")}, ("_run",)).withColumn("_from", F.col("_to") - F.col("_same"))
+    levels = written(levels.join(F.broadcast(sizes), F.col("_run").eqNullSafe(F.col("_of"))).drop("_of"))
+    # A step of a run of n is (longest - 1) / (n - 1) steps of the longest; whole numbers keep this exact.
+    wide, steps = F.col("_most") - 1, F.greatest(F.col("_n") - 1, F.lit(1))
+    following = levels.select(F.col("_run").alias("_of"), F.col("_from").alias("_at"), F.col("_value").alias("_next"))
+    met = levels.join(following, F.col("_run").eqNullSafe(F.col("_of")) & (F.col("_to") == F.col("_at")), "left")
+    first = lambda rank: F.call_function("div", F.col(rank) * wide + steps - 1, steps)
+    spread = met.withColumn("_j", F.explode(F.sequence(first("_from"), F.when(F.col("_to") == F.col("_n"), wide).otherwise(first("_to") - 1))))
+    past = F.col("_j") * (F.col("_n") - 1) / F.greatest(wide, F.lit(1)) - (F.col("_to") - 1)
+    profile = spread.select("_j", F.when((past > 0) & F.col("_next").isNotNull(), F.col("_value") + (F.col("_next") - F.col("_value")) * past).otherwise(F.col("_value")).alias("_v"))
+    means = written(profile.groupBy("_j").agg(F.avg("_v").alias("_v")))
+    reference = means.join(means.select((F.col("_j") - 1).alias("_j"), F.col("_v").alias("_w")), "_j", "left")
+    nth = F.row_number().over(Window.partitionBy(run, value).orderBy(*ties)) - 1
+    ranked = known.withColumn("_nth", nth).join(levels, F.col(run).eqNullSafe(F.col("_run")) & (F.col(value) == F.col("_value")))
+    place = (F.col("_from") + F.col("_nth")) * wide
+    told = ranked.withColumn("_j", F.call_function("div", place, steps)).withColumn("_part", place % steps / steps).join(reference, "_j")
+    told = told.withColumn(value, F.when(F.col("_part") > 0, F.col("_v") + (F.col("_w") - F.col("_v")) * F.col("_part")).otherwise(F.col("_v")))
+    return told.select(*rows.columns).unionByName(rows.where(F.col(value).isNull()).withColumn(value, F.col(value).cast("double")).select(*rows.columns))
 
 
 def spectral_library(rows: DataFrame, precursor: str, fragment: str, intensity: str, order: Sequence[Column], min_fragments: int = 4, rt: str | None = None) -> DataFrame:

@@ -113,3 +113,21 @@ def test_exports(rows):
     mapping, proteins = rows("peptide_id int, protein_id int", [(1, 8), (1, 7), (2, 7)]), rows("id int, protein_accession string", [(7, "A"), (8, "B")])
     assert {r.peptide_id: r.protein_accession for r in export.protein_lists(mapping, proteins).collect()} == {1: "A;B", 2: "A"}
     assert export.protein_lists(mapping, proteins, only_unique=True).count() == 1
+
+
+def test_quantile_normalisation_uses_all_ranks(rows):
+    """Runs of more rows than any grid of a thousand steps, with a long tail, ties, and one run shorter than the others."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    runs = {"a": np.exp(rng.normal(0, 3, 2500)), "b": np.exp(rng.normal(1, 2, 2500)), "c": np.round(np.exp(rng.normal(2, 1, 700))), "d": np.array([7.0])}
+    df = rows("run string, i int, v double", [(r, i, float(x)) for r, v in runs.items() for i, x in enumerate(v)] + [("a", 9999, None), (None, 0, 4.0)])
+    runs[None] = np.array([4.0])
+    at = lambda v, n: np.interp(np.linspace(0, 1, n), np.linspace(0, 1, len(v)), np.sort(v)) if len(v) > 1 else np.full(n, v[0])
+    reference = np.mean([at(v, 2500) for v in runs.values()], axis=0)
+    got = {(r.run, r.i): r.v for r in quant.quantile_normalised(df, "run", "v", ["i"]).collect()}
+    assert len(got) == 5703 and got.pop(("a", 9999)) is None
+    for r, v in runs.items():
+        order = np.argsort(v, kind="stable")
+        want = at(reference, len(v)) if len(v) > 1 else reference[:1]
+        assert np.allclose([got[r, int(i)] for i in order], want, rtol=1e-9)
