@@ -64,19 +64,23 @@ def in_all_runs(rows: DataFrame, ident: str, run: str) -> DataFrame:
 def consistency_curve(rows: DataFrame, ident: str, run: str, draws: int = 100, seed: int = 7) -> DataFrame:
     """For k = 1..runs: mean over random orders of the runs of the identifications common to the first k, and of those in any.
 
-    An identification's first and last place in an order decide both, so each draw costs one aggregate over the
-    distinct (identification, run) pairs.
+    An identification's first place and the first place it lacks decide both. Identifications are counted by their set of runs,
+    and the draws, an array of places each, are broadcast, so that no draw shuffles the identifications.
     """
     once = rows.select(ident, run).distinct()
     runs = once.select(run).distinct()
     order = Window.partitionBy("draw").orderBy(F.xxhash64(run, "draw", F.lit(seed)), run)
-    places = runs.select(run, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("place", F.row_number().over(order))
-    seen = once.join(F.broadcast(places), run).groupBy("draw", ident).agg(F.min("place").alias("first"), F.collect_set("place").alias("all"))
+    numbered = runs.withColumn("_i", F.row_number().over(Window.orderBy(run)) - 1)
+    places = numbered.select(run, "_i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("place", F.row_number().over(order))
+    drawn = places.groupBy("draw").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "place"))), lambda x: x["place"]).alias("_places"))
+    sets = once.join(F.broadcast(numbered), run).groupBy(ident).agg(F.sort_array(F.collect_list("_i")).alias("_own")).groupBy("_own").agg(F.count(F.lit(1)).alias("n"))
+    sets = sets.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but many draws of each
+    seen = sets.join(F.broadcast(drawn)).select("draw", "n", F.sort_array(F.transform("_own", lambda i: F.get("_places", i))).alias("all"))
     # Common to the first k: the places 1..k are all there, so k < first missing place.
-    gap = F.aggregate(F.array_sort("all"), F.lit(0), lambda reached, x: F.when(x == reached + 1, x).otherwise(reached))
-    told = seen.select("draw", "first", gap.alias("until"))
+    gap = F.aggregate("all", F.lit(0), lambda reached, x: F.when(x == reached + 1, x).otherwise(reached))
+    told = seen.select("draw", "n", F.get("all", F.lit(0)).alias("first"), gap.alias("until"))
     ks = runs.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.explode(F.sequence(F.lit(1), "n")).alias("k"))
-    spans = told.groupBy("draw", "first", "until").agg(F.count(F.lit(1)).alias("n"))
+    spans = told.groupBy("draw", "first", "until").agg(F.sum("n").alias("n"))
     per_draw = spans.join(F.broadcast(ks), (F.col("first") <= F.col("k"))).groupBy("draw", "k").agg(F.sum("n").alias("any"), F.sum(F.when(F.col("until") >= F.col("k"), F.col("n")).otherwise(0)).alias("common"))
     return per_draw.groupBy("k").agg((F.sum("any") / draws).alias("mean_any"), (F.sum("common") / draws).alias("mean_common"))
 

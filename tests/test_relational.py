@@ -131,3 +131,13 @@ def test_quantile_normalisation_uses_all_ranks(rows):
         order = np.argsort(v, kind="stable")
         want = at(reference, len(v)) if len(v) > 1 else reference[:1]
         assert np.allclose([got[r, int(i)] for i in order], want, rtol=1e-9)
+
+
+def test_consistency_curve_query_takes_all_rows(spark, rows, tmp_path):
+    from quantloom.plans.quantification import QUERIES
+
+    rows("s_suppkey int, s_nationkey int", [(1, 1), (2, 2)]).write.parquet(str(tmp_path / "supplier.parquet"))
+    items = [(1, 10, 1.0, "N", 5.0), (2, 10, 1.0, "N", 50.0), (1, 11, 1.0, "R", 40.0), (2, 12, 1.0, "A", 9.0)]
+    rows("l_suppkey int, l_partkey int, l_extendedprice double, l_returnflag string, l_quantity double", items).write.parquet(str(tmp_path / "lineitem.parquet"))
+    curve = {r.k: (r.mean_any, r.mean_common) for r in QUERIES["consistency_curve"].run(spark, str(tmp_path)).collect()}
+    assert curve == {1: (2.0, 2.0), 2: (3.0, 1.0)}
