@@ -36,10 +36,16 @@ def _pairs(per_run: DataFrame, ident: str, run: str, values: Sequence[str]) -> D
 
 
 def jaccard(rows: DataFrame, ident: str, run: str) -> DataFrame:
-    """Shared over all identifications of every pair of runs that share any."""
-    once = rows.select(ident, run).distinct()
+    """Shared over all identifications of every pair of runs that share any.
+
+    Identifications with the same set of runs are counted together, so a set's pairs of runs are formed once, not once for each
+    identification; counts add up before the shuffle.
+    """
+    once = rows.where(F.col(ident).isNotNull() & F.col(run).isNotNull()).select(ident, run).distinct()
     sizes = once.groupBy(run).agg(F.count(F.lit(1)).alias("n"))
-    common = _pairs(once, ident, run, []).groupBy("run_a", "run_b").agg(F.count(F.lit(1)).alias("common"))
+    sets = once.groupBy(ident).agg(F.sort_array(F.collect_list(run)).alias("_own")).groupBy("_own").agg(F.count(F.lit(1)).alias("n"))
+    firsts = sets.select("n", "_own", F.posexplode("_own").alias("_i", "run_a"))
+    common = firsts.select("n", "run_a", F.explode(F.slice("_own", F.col("_i") + 2, F.size("_own"))).alias("run_b")).groupBy("run_a", "run_b").agg(F.sum("n").alias("common"))
     a, b = sizes.select(F.col(run).alias("run_a"), F.col("n").alias("na")), sizes.select(F.col(run).alias("run_b"), F.col("n").alias("nb"))
     return common.join(F.broadcast(a), "run_a").join(F.broadcast(b), "run_b").select("run_a", "run_b", "common", F.try_divide("common", F.col("na") + F.col("nb") - F.col("common")).alias("jaccard"))
 
@@ -69,7 +75,7 @@ def consistency_curve(rows: DataFrame, ident: str, run: str, draws: int = 100, s
     """
     once = rows.select(ident, run).distinct()
     runs = once.select(run).distinct()
-    order = Window.partitionBy("draw").orderBy(F.xxhash64(run, "draw", F.lit(seed)), run)
+    order = Window.partitionBy("draw").orderBy(F.md5(F.concat_ws("-", F.col(run).cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), run)
     numbered = runs.withColumn("_i", F.row_number().over(Window.orderBy(run)) - 1)
     places = numbered.select(run, "_i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("place", F.row_number().over(order))
     drawn = places.groupBy("draw").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "place"))), lambda x: x["place"]).alias("_places"))
@@ -96,24 +102,28 @@ def ecdf(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return met.select(*keys, value, (F.col("_cum") / F.col("_all")).alias("ecdf"))
 
 
-def linear_bins(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """Weights on ``bins`` + 1 grid points, each value shared between its two neighbours: the first step of a density estimate."""
-    step = (high - low) / bins
-    at = (F.col(value) - low) / step
-    inside = rows.where(F.col(value).between(low, high)).select(F.least(F.floor(at), F.lit(bins - 1)).cast("int").alias("_b"), at.alias("_at"))
+def linear_bins(rows: DataFrame, value: str, low: float | None = None, high: float | None = None, bins: int = 512) -> DataFrame:
+    """Weights on ``bins`` + 1 grid points, each value shared between its two neighbours: the first step of a density estimate.
+
+    The grid spans the values unless its ends are given; values beyond given ends go to the end points. Nulls and NaN don't count.
+    """
+    known = rows.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    ends = known.agg(*[F.lit(float(x)).alias(n) if x is not None else f("_v").alias(n) for n, x, f in (("_lo", low, F.min), ("_hi", high, F.max))])
+    step = (F.col("_hi") - F.col("_lo")) / bins
+    at = F.least(F.greatest(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), step), F.lit(0.0)), F.lit(0.0)), F.lit(float(bins)))
+    placed = known.join(F.broadcast(ends)).select(at.alias("_at")).select("_at", F.least(F.floor("_at"), F.lit(bins - 1)).cast("int").alias("_b"))  # one row
     u = F.col("_at") - F.col("_b")
-    both = inside.select(F.inline(F.array(F.struct(F.col("_b").alias("bin"), (1 - u).alias("w")), F.struct((F.col("_b") + 1).alias("bin"), u.alias("w")))))
+    both = placed.select(F.inline(F.array(F.struct(F.col("_b").alias("bin"), (1 - u).alias("w")), F.struct((F.col("_b") + 1).alias("bin"), u.alias("w")))))
     return both.groupBy("bin").agg(F.sum("w").alias("weight"))
 
 
-def density_curve(rows: DataFrame, value: str, points: int = 512, factor: float = 0.25, max_points: int = 1 << 16) -> DataFrame:
-    """``x, density`` of a Gaussian density with bandwidth ``factor`` times the standard deviation, on a fixed grid.
+def density_curve(rows: DataFrame, value: str, points: int = 512, factor: float = 0.25) -> DataFrame:
+    """``x, density`` of a Gaussian density with bandwidth ``factor`` times the standard deviation, on a fixed grid of ``points``.
 
     Only grid weights (``points`` numbers) reach the driver.
     """
     import numpy as np
 
-    points = min(points, max_points)
     low, high, sd, n = rows.agg(F.min(value), F.max(value), F.stddev_samp(value), F.count(value)).first()
     spark = rows.sparkSession
     if not n or not sd:

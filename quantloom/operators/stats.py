@@ -310,22 +310,22 @@ def d_scores(rows: DataFrame, score: str, decoy: str, keys: Sequence[str] = (),
     return joined.withColumn(name, F.try_divide(F.col(score) - F.col("_mu"), F.col("_sd"))).drop("_mu", "_sd")
 
 
+#: Numerator and denominator of the hypotheses are kept at this scale, so that odds of the least positive number don't overflow.
+_SCALE = 1e-290
+
+
 def chromatogram_hypotheses(rows: DataFrame, groups: Sequence[str], pep: str, prior_null: float = 0.2) -> DataFrame:
     """``rows`` with ``h_score`` (this peak is right, all others wrong) and ``h0_score`` (all are wrong) of their group.
 
-    Products run as sums of logarithms; a group with zeros among its error probabilities is decided by their number.
+    The product of all error probabilities cancels, so only odds are added up and nothing underflows. With one zero among them that peak is
+    right; with several no hypothesis is possible and both are null. A peak with null ``pep`` gets nulls and counts only in the prior.
     """
-    log_p = F.when(F.col(pep) > 0, F.log(pep)).otherwise(F.lit(0.0))
-    facts = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(log_p).alias("_lp"), F.count(F.when(F.col(pep) == 0, 1)).alias("_zeros"),
-        F.sum(F.when(F.col(pep) > 0, (1 - F.col(pep)) / F.col(pep)).otherwise(0.0)).alias("_odds"),
-    )
+    odds = F.when(F.col(pep) > 0, (1 - F.col(pep)) * (F.lit(_SCALE) / F.col(pep)))
+    facts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col(pep) == 0, 1)).alias("_zeros"), F.coalesce(F.sum(odds), F.lit(0.0)).alias("_odds"))
     met = rows.join(facts, list(groups))
     prior = (1 - F.lit(prior_null)) / F.col("_n")
-    product = F.exp("_lp")
-    # Without zeros every term holds the whole product, with one zero only that peak's own hypothesis is left, with more none.
-    plain = product * (prior * F.try_divide(1 - F.col(pep), F.col(pep)))
-    total = product * (prior * F.col("_odds") + prior_null)
-    own = F.when(F.col("_zeros") == 0, F.try_divide(plain, total)).when((F.col("_zeros") == 1) & (F.col(pep) == 0), 1.0).when(F.col("_zeros") == 1, 0.0)
-    null = F.when(F.col("_zeros") == 0, F.try_divide(product * prior_null, total)).when(F.col("_zeros") == 1, 0.0)
+    nil = F.lit(prior_null * _SCALE)
+    total = prior * F.col("_odds") + nil
+    own = F.when(F.col("_zeros") == 0, F.try_divide(prior * odds, total)).when((F.col("_zeros") == 1) & F.col(pep).isNotNull(), (F.col(pep) == 0).cast("double"))
+    null = F.when(F.col(pep).isNull(), None).when(F.col("_zeros") == 0, F.try_divide(nil, total)).when(F.col("_zeros") == 1, 0.0)
     return met.select(*rows.columns, own.alias("h_score"), null.alias("h0_score"))

@@ -38,14 +38,14 @@ def precursor_posterior(spark: SparkSession, sf: str) -> DataFrame:
 
 def _transitions(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as features, their lines as transitions, up to three peptidoforms per order and the null one."""
-    rows = observations(spark, sf).select(F.col("l_orderkey").alias("feature_id"), F.concat_ws("-", "l_linenumber", "entity", "l_suppkey").alias("transition_id"), F.greatest(F.least("pep", F.lit(0.95)), F.lit(0.05)).alias("pep"), "entity")
+    rows = observations(spark, sf).select(F.col("l_orderkey").alias("feature_id"), F.concat_ws("-", "l_linenumber", "entity", "l_suppkey").alias("transition_id"), "pep", "entity")
     forms = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1), F.lit(2))).alias("peptide_id")
     rows = rows.select("*", forms).where("peptide_id <= feature_id % 3")
     mask = ((F.col("peptide_id") >= 0) & (F.pmod("entity", F.lit(3)) == F.col("peptide_id"))).cast("int")
     return rows.select("feature_id", "transition_id", "pep", "peptide_id", mask.alias("bmask"), (F.col("feature_id") % 3 + 1).cast("int").alias("num_peptidoforms"))
 
 
-_TRANSITIONS_SQL = f"""SELECT l_orderkey AS feature_id, concat_ws('-', l_linenumber, entity, l_suppkey) AS transition_id, greatest(least(pep, 0.95), 0.05) AS pep, peptide_id,
+_TRANSITIONS_SQL = f"""SELECT l_orderkey AS feature_id, concat_ws('-', l_linenumber, entity, l_suppkey) AS transition_id, pep, peptide_id,
  (peptide_id >= 0 AND entity % 3 = peptide_id)::int AS bmask, (l_orderkey % 3 + 1)::int AS num_peptidoforms
 FROM ({OBSERVATIONS_SQL}), (SELECT unnest([-1, 0, 1, 2]) AS peptide_id) WHERE peptide_id <= l_orderkey % 3"""
 

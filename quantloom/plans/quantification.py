@@ -65,10 +65,19 @@ def matrix_median_normalised(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(quant.pivoted(quant.median_normalised(_best(spark, sf), "run", "intensity"), ["entity"], "run", "intensity", RUNS))
 
 
-@QUERIES.add("matrix_quantile_normalised")
+@QUERIES.add(
+    "matrix_quantile_normalised",
+    f"""WITH b AS (SELECT entity, run, intensity, row_number() OVER (PARTITION BY run ORDER BY intensity, entity) - 1 AS r, count(*) OVER (PARTITION BY run) AS n FROM ({_BEST})),
+w AS (SELECT max(n) AS n FROM b), j AS (SELECT run, j, j::double * (max(b.n) - 1) / greatest(max(w.n) - 1, 1) AS pos FROM b, w, unnest(range((SELECT max(n) FROM b))) AS g(j) WHERE r = 0 GROUP BY run, j),
+v AS (SELECT j.run, j.j, lo.intensity + coalesce(hi.intensity - lo.intensity, 0) * (pos - floor(pos)) AS v FROM j JOIN b lo ON lo.run = j.run AND lo.r = floor(pos) LEFT JOIN b hi ON hi.run = j.run AND hi.r = floor(pos) + 1),
+m AS (SELECT j, avg(v) AS v FROM v GROUP BY j),
+q AS (SELECT entity, run, r::double * (w.n - 1) / greatest(b.n - 1, 1) AS pos FROM b, w),
+t AS (SELECT entity, run, lo.v + coalesce(hi.v - lo.v, 0) * (pos - floor(pos)) AS intensity FROM q JOIN m lo ON lo.j = floor(pos) LEFT JOIN m hi ON hi.j = floor(pos) + 1)
+SELECT entity, {_PIVOT.replace("9)", "6)")} FROM t GROUP BY entity""",
+)
 def matrix_quantile_normalised(spark: SparkSession, sf: str) -> DataFrame:
     rows = quant.quantile_normalised(_best(spark, sf), "run", "intensity", ["entity"])
-    return rounded(quant.pivoted(rows, ["entity"], "run", "intensity", RUNS))
+    return rounded(quant.pivoted(rows, ["entity"], "run", "intensity", RUNS), 6)
 
 
 @QUERIES.add(
@@ -112,7 +121,15 @@ def peptide_masses(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("mass", F.round(peptides.peptide_mass(F.col("unmodified_sequence")), 6))
 
 
-@QUERIES.add("peptide_fragments")
+_MASS_MAP = "MAP {" + ", ".join(f"'{a}': {m}" for a, m in peptides.RESIDUES.items()) + "}"
+
+
+@QUERIES.add(
+    "peptide_fragments",
+    f"""WITH p AS (SELECT DISTINCT id, unmodified_sequence AS s FROM peptide WHERE unmodified_sequence <> ''), i AS (SELECT id, s, unnest(generate_series(1, len(s) - 1)) AS i FROM p),
+m AS (SELECT *, list_transform(string_split(s, ''), lambda a: {_MASS_MAP}[a]) AS m FROM i)
+SELECT id, 'b' AS type, i::int AS ordinal, round(list_sum(m[1:i]) + {peptides.PROTON}, 6) AS mz FROM m UNION ALL SELECT id, 'y', i::int, round(list_sum(m[len(s) - i + 1:]) + {peptides.WATER} + {peptides.PROTON}, 6) FROM m""",
+)
 def peptide_fragments(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "peptide").select("id", "unmodified_sequence").distinct().where("unmodified_sequence <> ''")
     return rows.select("id", F.inline(peptides.fragments(F.col("unmodified_sequence")))).withColumn("mz", F.round("mz", 6))
@@ -140,26 +157,21 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(report.run_summary(observations(spark, sf), "run", "entity", "intensity"), 6)
 
 
-_BY_NATION = "SELECT l_partkey AS entity, s_nationkey AS run, l_extendedprice AS intensity, l_returnflag FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity < 10"
+_BY_NATION = "SELECT l_partkey AS entity, s_nationkey AS run, l_extendedprice AS intensity, l_returnflag FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"
 
 
 def _by_nation(spark: SparkSession, sf: str) -> DataFrame:
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("run"))
-    items = table(spark, sf, "lineitem").select("l_quantity", "l_suppkey", F.col("l_partkey").alias("entity"), F.col("l_extendedprice").alias("intensity"), "l_returnflag")
+    items = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_partkey").alias("entity"), F.col("l_extendedprice").alias("intensity"), "l_returnflag")
     return items.join(suppliers, "l_suppkey").drop("l_suppkey")
 
 
-def _as_in_sql(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of ``_BY_NATION``."""
-    return _by_nation(spark, sf).where("l_quantity < 10")
-
-
 @QUERIES.add(
     "run_cv",
     f"SELECT entity, count(*) AS n_runs, round(stddev_samp(v) / avg(v), 9) AS cv FROM (SELECT entity, run, max(intensity) AS v FROM ({_BY_NATION}) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 2",
 )
 def run_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.variation(_as_in_sql(spark, sf), "entity", "run", "intensity"))
+    return rounded(report.variation(_by_nation(spark, sf), "entity", "run", "intensity"))
 
 
 @QUERIES.add(
@@ -169,7 +181,7 @@ c AS (SELECT a.run AS run_a, b.run AS run_b, count(*) AS common FROM o a JOIN o
 SELECT run_a, run_b, common, round(common / (x.n + y.n - common), 9) AS jaccard FROM c JOIN s x ON x.run = run_a JOIN s y ON y.run = run_b""",
 )
 def run_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.jaccard(_as_in_sql(spark, sf), "entity", "run"))
+    return rounded(report.jaccard(_by_nation(spark, sf), "entity", "run"))
 
 
 @QUERIES.add(
@@ -178,18 +190,25 @@ def run_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 p AS (SELECT a.run AS run_a, b.run AS run_b, a.v AS va, b.v AS vb FROM o a JOIN o b ON a.entity = b.entity AND a.run < b.run),
 r AS (SELECT run_a, run_b, rank() OVER (PARTITION BY run_a, run_b ORDER BY va) + (count(*) OVER (PARTITION BY run_a, run_b, va) - 1) / 2 AS ra,
  rank() OVER (PARTITION BY run_a, run_b ORDER BY vb) + (count(*) OVER (PARTITION BY run_a, run_b, vb) - 1) / 2 AS rb FROM p)
-SELECT run_a, run_b, count(*) AS n, round(corr(ra, rb), 9) AS rho FROM r GROUP BY 1, 2 HAVING count(*) > 2""",
+SELECT run_a, run_b, count(*) AS n, round(corr(ra, rb), 9) AS rho FROM r GROUP BY 1, 2""",
 )
 def run_spearman(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.spearman(_as_in_sql(spark, sf), "entity", "run", "intensity").where("n > 2"))
+    return rounded(report.spearman(_by_nation(spark, sf), "entity", "run", "intensity"))
 
 
 @QUERIES.add("run_intersection", f"SELECT n_runs, count(*) AS n_ids FROM (SELECT entity, count(DISTINCT run) AS n_runs FROM ({_BY_NATION}) GROUP BY 1) GROUP BY 1")
 def run_intersection(spark: SparkSession, sf: str) -> DataFrame:
-    return report.in_all_runs(_as_in_sql(spark, sf), "entity", "run")
+    return report.in_all_runs(_by_nation(spark, sf), "entity", "run")
 
 
-@QUERIES.add("consistency_curve")
+@QUERIES.add(
+    "consistency_curve",
+    f"""WITH o AS (SELECT DISTINCT entity, run FROM ({_BY_NATION})), u AS (SELECT DISTINCT run FROM o), d AS (SELECT unnest(generate_series(1, 100)) AS draw),
+p AS (SELECT run, draw, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('-', run, draw, 7)), run) AS place FROM u, d),
+n AS (SELECT count(*) AS runs FROM u), s AS (SELECT entity, draw, list_sort(list(place)) AS places FROM o JOIN p USING (run) GROUP BY 1, 2),
+t AS (SELECT draw, places[1] AS first, coalesce(list_max(list_filter(range(1, len(places) + 1), lambda i: places[i] = i)), 0) AS until, count(*) AS c FROM s GROUP BY 1, 2, 3)
+SELECT k::int AS k, sum(c) FILTER (first <= k) / 100 AS mean_any, coalesce(sum(c) FILTER (until >= k), 0) / 100 AS mean_common FROM t, (SELECT unnest(generate_series(1, (SELECT runs FROM n))) AS k) GROUP BY k""",
+)
 def consistency_curve(spark: SparkSession, sf: str) -> DataFrame:
     return report.consistency_curve(_by_nation(spark, sf), "entity", "run")
 
@@ -204,11 +223,12 @@ def ecdf_pp(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add(
     "kde_binning",
-    f"""WITH x AS (SELECT intensity / 500.0 AS place, least(floor(intensity / 500.0), 199)::int AS b FROM ({OBSERVATIONS_SQL}) WHERE intensity BETWEEN 0 AND 100000)
+    f"""WITH e AS (SELECT min(intensity) AS lo, (max(intensity) - min(intensity)) / 200 AS step FROM ({OBSERVATIONS_SQL})),
+x AS (SELECT (intensity - lo) / step AS place, least(floor((intensity - lo) / step), 199)::int AS b FROM ({OBSERVATIONS_SQL}), e)
 SELECT bin, round(sum(w), 6) AS weight FROM (SELECT b AS bin, 1 - (place - b) AS w FROM x UNION ALL SELECT b + 1, place - b FROM x) GROUP BY bin""",
 )
 def kde_binning(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.linear_bins(observations(spark, sf), "intensity", 0.0, 100000.0, 200), 6)
+    return rounded(report.linear_bins(observations(spark, sf), "intensity", bins=200), 6)
 
 
 @QUERIES.add("kde_curve")

@@ -169,12 +169,13 @@ def grouped_model_fdr(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add(
     "chromatogram_hypotheses",
-    f"""WITH o AS (SELECT obs, entity, run, greatest(pep, 0.01) AS pep FROM ({OBSERVATIONS_SQL})),
-g AS (SELECT entity, run, count(*) AS n, sum(ln(pep)) AS lp, sum((1 - pep) / pep) AS odds FROM o GROUP BY ALL)
-SELECT obs, round((0.8 / n) * (1 - pep) / pep / (0.8 / n * odds + 0.2), 9) AS h_score, round(0.2 / (0.8 / n * odds + 0.2), 9) AS h0_score FROM o JOIN g USING (entity, run)""",
+    f"""WITH o AS (SELECT obs, entity, run, pep FROM ({OBSERVATIONS_SQL})),
+g AS (SELECT entity, run, count(*) AS n, count(*) FILTER (pep = 0) AS z, product(CASE WHEN pep > 0 THEN pep ELSE 1 END) AS p FROM o GROUP BY ALL),
+e AS (SELECT obs, entity, run, 0.8 / n * (1 - pep) * CASE WHEN z > (pep = 0)::int THEN 0 WHEN pep = 0 THEN p ELSE p / pep END AS own, CASE WHEN z > 0 THEN 0 ELSE 0.2 * p END AS nil FROM o JOIN g USING (entity, run))
+SELECT obs, round(own / nullif(sum(own) OVER w + nil, 0), 9) AS h_score, round(nil / nullif(sum(own) OVER w + nil, 0), 9) AS h0_score FROM e WINDOW w AS (PARTITION BY entity, run)""",
 )
 def chromatogram_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
-    rows = observations(spark, sf).select("obs", "entity", "run", F.greatest("pep", F.lit(0.01)).alias("pep"))
+    rows = observations(spark, sf).select("obs", "entity", "run", "pep")
     return rounded(stats.chromatogram_hypotheses(rows, ["entity", "run"], "pep").select("obs", "h_score", "h0_score"))
 
 
