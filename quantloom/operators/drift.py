@@ -1,10 +1,10 @@
 """Schemas that drift between the files of a feed: every change, and one table with fixed names and types.
 
-Each file is profiled by an aggregate (which fields most lines carry, their types, their
-distinct values); consecutive files are then matched by similarity flooding over the graphs
-of their schemas, whose nodes are fields, name parts, types and nesting levels. Values that a
-file exports again give the first scores of the field pairs. Only profiles, whose size is that
-of a schema, ever meet in one task.
+Each file is profiled by an aggregate (which fields most lines carry, their types); the values that
+fields of consecutive files share are counted by one more. Consecutive files are then matched by
+similarity flooding over the graphs of their schemas, whose nodes are fields, objects, name parts and
+types. Names and shared values give the first scores; the scores at the fixpoint decide which fields are
+one quantity under two names. Only profiles, whose size is that of a schema, ever meet in one task.
 """
 
 from __future__ import annotations
@@ -19,39 +19,66 @@ from quantloom.runtime import written
 
 #: Texts that mark a missing value.
 MISSING = ("", "nan", "na", "n/a", "null", "none", "nil", "-", "--", "?", "inf", "-inf", "missing")
-#: A pair of fields is one quantity under two names if it repeats this part of what unchanged fields repeat.
-MIN_EVIDENCE = 0.34
+#: A pair of fields is one quantity if its flooded score reaches this part of the score that unchanged fields have with themselves.
+MIN_SIMILARITY = 0.5
+#: Part of a pair's score that flows in from its neighbours, and how that divides among name parts, types and nesting.
+INFLOW, BY_PARTS, BY_TYPE, BY_NESTING = 0.3, 0.5, 0.2, 0.3
+#: Weight of shared values beside names where a file exports records of the file before again.
+BY_VALUES = 0.7
 
 
 def _kind(json: Column) -> Column:
-    first = F.substring(F.ltrim(json), 1, 1)
+    first = F.substring(json, 1, 1)
     plain = F.lower(F.trim(F.regexp_replace(json, '^"|"$', "")))
     return (
-        F.when(json.isNull() | (first == "n") | ((first == '"') & plain.isin(*MISSING)), None)
+        F.when(json.isNull() | (first == "n"), None)
+        .when((first >= "-") & (first <= "9"), "number")  # texts begin with a quote, so no other sign lies between
         .when(first == "[", "list")
-        .when(first.rlike("[-0-9]"), "number")
+        .when((first == '"') & plain.isin(*MISSING), None)
         .otherwise("text")
     )
 
 
 def _comparable(json: Column) -> Column:
-    """A value without its dress: brackets of a list, quotes, unit, decimal comma, trailing zeros."""
+    """A value without its dress: brackets of a list of one, quotes, unit, decimal comma, trailing zeros."""
+    first = F.substring(json, 1, 1)
+    plain_number = (first >= "-") & (first <= "9")
+    as_number = lambda n: F.when(F.length(n) > 15, n).otherwise(F.coalesce(n.try_cast("double").cast("string"), n))
     bare = F.regexp_replace(F.regexp_extract(json, r'^\s*\[?\s*"?([^"\],]*(?:,[0-9]+)?)', 1), r"\s+$", "")
     number = F.regexp_replace(F.regexp_extract(bare, r"^([+-]?[0-9]+(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?)(?:\s.*)?$", 1), ",", ".")
-    return F.when(number == "", F.lower(bare)).when(F.length(number) > 15, number).otherwise(F.coalesce(number.try_cast("double").cast("string"), number))
+    return F.when(plain_number, as_number(json)).when(number == "", F.lower(bare)).otherwise(as_number(number))
+
+
+_LINE = ("feed_id", "file_id", "level", "written_at", "line_no")
 
 
 def line_fields(raw: DataFrame) -> DataFrame:
-    """One row per distinct line and field: name in lower case, kind and comparable value.
+    """One row per distinct line and field: name in lower case, kind, comparable value and the value as it stands (``raw``).
 
-    A line without fields (null, unreadable or empty payload) has one row with a null field.
+    Objects are flattened, whatever their depth: the field ``b`` of an object ``a`` is ``a.b``. A line without fields (null,
+    unreadable or empty payload) has one row with a null field; an empty object is a field without value. The result is written.
     """
     level = F.col("level") if "level" in raw.columns else F.lit(None).cast("string").alias("level")
     lines = raw.select("feed_id", "file_id", "written_at", "line_no", "payload", level).distinct()
-    fields = F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>")
-    long = lines.select("feed_id", "file_id", "level", "written_at", "line_no", F.explode_outer(fields).alias("field", "_v"))
+    entries = lambda v, at: F.try_variant_get(v, at, "map<string,variant>")
+    long = lines.select(*_LINE, F.explode_outer(entries(F.try_parse_json("payload"), "$")).alias("field", "_v"))
     json = F.to_json("_v")
-    return long.select("feed_id", "file_id", "level", "written_at", "line_no", F.lower("field").alias("field"), _kind(json).alias("kind"), _comparable(json).alias("value"))
+    told = lambda df, rest: df.select(
+        *_LINE, F.lower("field").alias("field"), F.when(rest, None).otherwise(_kind(json)).alias("kind"), F.when(~rest, _comparable(json)).alias("value"), json.alias("raw"), rest.alias("_object")
+    )
+    is_object = F.coalesce(json.startswith("{"), F.lit(False))
+    done = written(told(long, is_object))
+    nested = "_object AND raw <> '{}'"
+    parts = [done.where(f"NOT ({nested})")]
+    while not done.where(nested).isEmpty():  # one level of nesting a round, over the objects only
+        inner = done.where(nested).select(*_LINE, "field", F.explode(entries(F.try_parse_json("raw"), "$")).alias("_key", "_v"))
+        inner = inner.select(*_LINE, F.concat("field", F.lit("."), "_key").alias("field"), "_v")
+        done = written(told(inner, is_object))
+        parts.append(done.where(f"NOT ({nested})"))
+    flat = parts[0]
+    for more in parts[1:]:
+        flat = flat.unionByName(more)
+    return flat.drop("_object")
 
 
 def file_order(long: DataFrame) -> DataFrame:
@@ -82,79 +109,120 @@ def _likeness(a: str, b: str) -> float:
     return 2 * len(grams[0] & grams[1]) / (len(grams[0]) + len(grams[1]))
 
 
+#: Parts of names that say nothing about the quantity.
+EMPTY_PARTS = ("var", "main", "score", "x", "feature", "v")
+
+
 def _affinity(name: str, target: str) -> float:
-    """Likeness of two names in letters or in parts, without parts that say nothing."""
-    parts = [{p for p in _parts(x) if p not in ("var", "main", "score", "x", "feature", "v2")} for x in (name, target)]
+    """Likeness of two names in letters or in parts, without parts that say nothing (``EMPTY_PARTS`` and a number after ``v``)."""
+    parts = [{p for p in _parts(re.sub(r"(?<![a-z])v[0-9]+$", "", x)) if p not in EMPTY_PARTS} for x in (name, target)]
     shared = 2 * len(parts[0] & parts[1]) / max(1, len(parts[0]) + len(parts[1]))
     return max(_likeness(name, target), shared)
 
 
-def flood(old: Mapping[str, str | None], new: Mapping[str, str | None], evidence: Mapping[tuple[str, str], float], rounds: int = 60, eps: float = 1e-4):
-    """Similarity of every old to every new field at the fixpoint of the flooding, as a matrix, and the two name lists.
-
-    The pairwise graph links a pair of fields to the pairs of their name parts, of their types and of
-    their parents; every pair hands its score on in equal parts per kind of edge.
+class _Graph:
+    """The graph of a file's schema: fields and the objects around them (the root is ``""``), joined to name parts, types and parents."""
+
+    def __init__(self, kinds: Mapping[str, str | None]):
+        inside = lambda f: f.rpartition(".")[0]
+        nodes = set(kinds) | {""}
+        for f in list(kinds):
+            while f := inside(f):
+                nodes.add(f)
+        self.nodes = sorted(nodes)
+        at = {n: i for i, n in enumerate(self.nodes)}
+        self.at = at
+        own = [_parts(n.rpartition(".")[2]) if n else [] for n in self.nodes]
+        self.parts = sorted({p for parts in own for p in parts})
+        part_at = {p: i for i, p in enumerate(self.parts)}
+        self.has_part = [[part_at[p] for p in parts] for parts in own]
+        self.type_of = [kinds.get(n) or ("object" if n not in kinds else "none") for n in self.nodes]
+        self.parent = [at[inside(n)] if n else -1 for n in self.nodes]
+        self.children = [[j for j, p in enumerate(self.parent) if p == i] for i in range(len(self.nodes))]
+
+
+def flood(old: Mapping[str, str | None], new: Mapping[str, str | None], first: Mapping[tuple[str, str], float], eps: float = 1e-6) -> dict[tuple[str, str], float]:
+    """The score of every old with every new field at the fixpoint of the flooding, given the first scores (0 to 1).
+
+    Nodes of the pairwise connectivity graph are pairs of fields (or objects), of name parts and of types; a pair is linked to the pairs of
+    its parts, its types, its parents and its children. Each round a pair keeps ``1 - INFLOW`` of its first score and takes the rest
+    from its neighbours, by kind of link; of all partners that a part or child has on the other side only the best one counts. Such a
+    round brings any two states closer by the factor ``INFLOW``, so there is one fixpoint and it is reached from anywhere; rounds go on
+    until no score moves by more than ``eps``.
     """
     import numpy as np
 
-    rows, cols = sorted(old), sorted(new)
-    parts = [sorted({p for f in names for p in _parts(f)}) for names in (rows, cols)]
-    kinds = ["number", "text", "list", "none"]
-
-    def incidence(names, nodes, of):
-        at = {x: i for i, x in enumerate(nodes)}
-        m = np.zeros((len(names), len(nodes)))
-        for i, f in enumerate(names):
-            for x in of(f):
-                m[i, at[x]] = 1
-        return m
-
-    pa, pb = incidence(rows, parts[0], _parts), incidence(cols, parts[1], _parts)
-    ka = incidence(rows, kinds, lambda f: [old[f] or "none"])
-    kb = incidence(cols, kinds, lambda f: [new[f] or "none"])
-    share = lambda m: m / np.maximum(m.sum(axis=0, keepdims=True), 1)  # noqa: E731  by node, over its fields
-    s0 = np.array([[max(0.2 * _likeness(a, b), evidence.get((a, b), 0.0)) if a != b else 1.0 for b in cols] for a in rows]).reshape(len(rows), len(cols))
-    w0 = np.array([[_likeness(a, b) for b in parts[1]] for a in parts[0]]).reshape(len(parts[0]), len(parts[1]))
-    k0 = np.eye(len(kinds)) * 0.7 + 0.3
-    s, w, k, root = s0, w0, k0, 1.0
-    for _ in range(rounds):
-        from_parts = (pa / pa.sum(axis=1, keepdims=True)) @ (w0 + w) @ (pb / pb.sum(axis=1, keepdims=True)).T
-        from_kinds = share(ka) @ (k0 + k) @ share(kb).T
-        s1 = s0 + s + 0.5 * from_parts + 0.2 * from_kinds + root / max(1, s.size)
-        w1 = w0 + w + share(pa).T @ (s0 + s) @ share(pb)
-        k1 = k0 + k + 0.2 * share(ka).T @ (s0 + s) @ share(kb)
-        top = max(s1.max(initial=0), 1e-12)
-        s1, w1, k1 = s1 / top, w1 / max(w1.max(initial=0), 1e-12), k1 / max(k1.max(initial=0), 1e-12)
-        moved = np.abs(s1 - s).max(initial=0)
+    a, b = _Graph(old), _Graph(new)
+    rows, cols = len(a.nodes), len(b.nodes)
+    types = sorted({*a.type_of, *b.type_of})
+    s0 = np.array([[first.get((x, y), _affinity(x, y) ** 2) if x and y else float(x == y) for y in b.nodes] for x in a.nodes])
+    w0 = np.array([[_likeness(p, q) for q in b.parts] for p in a.parts]).reshape(len(a.parts), len(b.parts))
+    same_type = {(t, u): 1.0 if t == u else 0.0 if "object" in (t, u) else 0.5 for t in types for u in types}
+    kind0 = np.array([[same_type[t, u] for u in b.type_of] for t in a.type_of])
+    members = lambda lists, n: np.array([[j in own for j in range(n)] for own in lists], bool).reshape(len(lists), n)
+    pa, pb = members(a.has_part, len(a.parts)), members(b.has_part, len(b.parts))
+    ca, cb = members(a.children, rows), members(b.children, cols)
+
+    def best(scores, left, right):
+        """For all pairs of sets (rows of ``left``, ``right``): how well their members find a partner in the other set, on average."""
+        if not scores.size:
+            return np.zeros((len(left), len(right)))
+        to_right = np.where(right[None, :, :], scores[:, None, :], -1.0).max(axis=2, initial=-1.0)  # member of the left x set on the right
+        to_left = np.where(left[:, :, None], scores[None, :, :], -1.0).max(axis=1, initial=-1.0)  # set on the left x member of the right
+        total = left.astype(float) @ np.maximum(to_right, 0) + np.maximum(to_left, 0) @ right.T.astype(float)
+        return total / np.maximum(left.sum(axis=1)[:, None] + right.sum(axis=1)[None, :], 1)
+
+    up_a, up_b = np.maximum(a.parent, 0), np.maximum(b.parent, 0)
+    has_children = ca.any(axis=1)[:, None] | cb.any(axis=1)[None, :]
+    s, w, k = s0, w0, kind0
+    while True:
+        nesting = s[up_a][:, up_b]
+        nesting = np.where(has_children, (nesting + best(s, ca, cb)) / 2, nesting)
+        s1 = (1 - INFLOW) * s0 + INFLOW * (BY_PARTS * best(w, pa, pb) + BY_TYPE * k + BY_NESTING * nesting)
+        w1 = (1 - INFLOW) * w0 + INFLOW * best(s, pa.T, pb.T)
+        k1 = (1 - INFLOW) * kind0 + INFLOW * s
+        moved = max(np.abs(s1 - s).max(initial=0), np.abs(w1 - w).max(initial=0), np.abs(k1 - k).max(initial=0))
         s, w, k = s1, w1, k1
-        if moved < eps:
-            break
-    return s, rows, cols
+        if moved <= eps:
+            return {(x, y): float(s[a.at[x], b.at[y]]) for x in old for y in new}
 
 
-def correspondences(old: Mapping[str, str | None], new: Mapping[str, str | None], common: Mapping[tuple[str, str], int], sizes: tuple[Mapping[str, int], Mapping[str, int]]) -> dict[str, str]:
-    """New name of each renamed field: a stable one-to-one selection from the flooded scores.
+def first_scores(old: Mapping[str, str | None], new: Mapping[str, str | None], common: Mapping[tuple[str, str], int], sizes: tuple[Mapping[str, int], Mapping[str, int]]) -> dict[tuple[str, str], float]:
+    """First scores of all pairs from names and, where records are exported again, from shared values.
 
-    ``common`` counts the values two fields share, ``sizes`` the distinct values of each. What fields under
-    an unchanged name share tells how much of a file is exported again; a renamed field must
-    share a fair part of that. Where nothing is exported again, names decide alone and must be close.
+    ``common`` counts the values two fields share, ``sizes`` the distinct values of each. What fields under an unchanged name share tells
+    how much of a file is exported again; a pair's part of that, up to 1, is what its values say.
     """
-    gone, come = [f for f in old if f not in new], [f for f in new if f not in old]
-    if not gone or not come:
-        return {}
     rate = lambda a, b: common.get((a, b), 0) / max(1, min(sizes[0].get(a, 0), sizes[1].get(b, 0)))
     kept = sorted(rate(f, f) for f in old if f in new)
     usual = kept[len(kept) // 2] if kept else 0.0
     if usual == 0:
-        usual = max((rate(a, b) for a in gone for b in come), default=0.0)
-    evidence = {(a, b): min(1.0, rate(a, b) / usual) for a in gone for b in come if usual > 0 and common.get((a, b), 0) >= 2}
-    score, rows, cols = flood(old, new, evidence)
-    at = lambda a, b: score[rows.index(a), cols.index(b)]
+        usual = max((rate(a, b) for a in old for b in new if a not in new and b not in old), default=0.0)
+    names = {(a, b): _affinity(a, b) for a in old for b in new}
+    if usual == 0:
+        return {pair: name**2 for pair, name in names.items()}  # where names alone decide, half alike is little
+    by_values = lambda a, b: min(1.0, rate(a, b) / usual) if common.get((a, b), 0) >= 2 else 0.0  # noqa: E731  one shared value may be chance
+    return {(a, b): BY_VALUES * by_values(a, b) + (1 - BY_VALUES) * name for (a, b), name in names.items()}
+
+
+def correspondences(old: Mapping[str, str | None], new: Mapping[str, str | None], common: Mapping[tuple[str, str], int], sizes: tuple[Mapping[str, int], Mapping[str, int]]) -> dict[str, str]:
+    """New name of each renamed field: a stable one-to-one selection by flooded scores.
+
+    A pair must reach ``MIN_SIMILARITY`` of the score that unchanged fields have with themselves in the same flood (their
+    median; 1 where every field changed). Pairs are taken by falling score, so none of two chosen pairs could both do better by a swap.
+    """
+    gone, come = [f for f in old if f not in new], [f for f in new if f not in old]
+    if not gone or not come:
+        return {}
+    score = flood(old, new, first_scores(old, new, common, sizes))
+    kept = sorted(score[f, f] for f in old if f in new)
+    least = MIN_SIMILARITY * (kept[len(kept) // 2] if kept else 1.0)
     chosen: dict[str, str] = {}
-    for _, a, b in sorted(((-at(a, b), a, b) for a in gone for b in come)):
-        fair = evidence.get((a, b), 0) >= MIN_EVIDENCE if usual > 0 else _likeness(a, b) >= 0.6
-        if fair and a not in chosen and b not in chosen.values():
+    taken: set[str] = set()
+    for worth, a, b in sorted((-score[a, b], a, b) for a in gone for b in come):
+        if -worth >= least > 0 and a not in chosen and b not in taken:
             chosen[a] = b
+            taken.add(b)
     return chosen
 
 
@@ -196,7 +264,7 @@ def schema_changes(raw: DataFrame, long: DataFrame | None = None) -> DataFrame:
     unreadable payloads are lines without fields); names are compared without case. Fields without any
     value have no type and are never retyped. Feeds with one file, and empty tables, give no row.
     """
-    long = written(line_fields(raw)) if long is None else long
+    long = line_fields(raw) if long is None else long
     ordered = written(file_order(long))
     files = ordered.where("before IS NOT NULL").select("feed_id", "file_id", "before")
     prof = written(profiles(long, ordered))
@@ -206,31 +274,31 @@ def schema_changes(raw: DataFrame, long: DataFrame | None = None) -> DataFrame:
     new = prof.join(files.drop("before"), ["feed_id", "file_id"], "left_semi")
     gathered = lambda df, name: df.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("field", "kind")).alias(name))
 
-    # Only where fields both came and went can one be renamed. There values are compared, also of the fields that stayed, as a yardstick: as
-    # sets, so a field costs at most its distinct values.
+    # Only where fields both came and went can one be renamed. There values are compared, also of the fields that stayed, as a yardstick.
     here = ["feed_id", "file_id"]
     gone = old.join(new, [*here, "field"], "left_anti").select(*here).distinct()
-    open_files = written(new.join(old, [*here, "field"], "left_anti").select(*here).distinct().join(gone, here, "left_semi").join(files, here))
-    needed = open_files.select(*here).union(open_files.select("feed_id", "before")).distinct()
-    values = long.where("kind IS NOT NULL").join(needed, here, "left_semi").select(*here, "field", "value").distinct()
-    values = values.join(prof.select(*here, "field"), [*here, "field"], "left_semi")
-    new_values = values.join(open_files.drop("before"), here, "left_semi")
-    open_links = open_files.select(F.col("feed_id").alias("_feed"), F.col("before").alias("_before"), F.col("file_id").alias("_next"))
-    old_values = values.join(open_links, follows).select(
-        "feed_id", F.col("_next").alias("file_id"), F.col("field").alias("old_field"), "value"
-    )
-    common = old_values.join(new_values, ["feed_id", "file_id", "value"]).groupBy("feed_id", "file_id", "old_field", "field").agg(F.count(F.lit(1)).alias("n"))
-    common = common.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("old_field", "field", "n")).alias("common"))
-    sized = lambda df, field, name: (
-        df.groupBy("feed_id", "file_id", F.col(field).alias("field")).agg(F.count(F.lit(1)).alias("n")).groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("field", "n")).alias(name))
-    )
+    came = new.join(old, [*here, "field"], "left_anti").select(*here).distinct()
+    nth = ordered.select("feed_id", "file_id", "nth")
+    open_files = came.join(gone, here, "left_semi").join(nth, here).select("feed_id", F.col("nth").alias("_open"))
+    wanted = open_files.union(open_files.select("feed_id", F.col("_open") - 1)).distinct().withColumnRenamed("_open", "nth")
+    fields = written(prof.join(nth, here).join(wanted, ["feed_id", "nth"], "left_semi").select(*here, "nth", "field"))
+    # Distinct values as hashes, brought together by feed and value once: a value has at most as many rows as its feed has files times fields.
+    cells = long.where("kind IS NOT NULL").select(*here, "field", F.xxhash64("value").alias("_h")).join(fields, [*here, "field"])
+    cells = cells.groupBy("feed_id", "_h", "nth", "field").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    seen = cells.groupBy("feed_id", "_h").agg(F.collect_list(F.struct("nth", "field")).alias("_at"))
+    sizes = cells.groupBy("feed_id", "nth", "field").agg(F.count(F.lit(1)).alias("n"))
+    follows_in = F.flatten(F.transform("_at", lambda x: F.transform(F.filter("_at", lambda y: y["nth"] == x["nth"] + 1), lambda y: F.struct(y["nth"].alias("nth"), x["field"].alias("old_field"), y["field"].alias("field")))))
+    common = seen.where(F.size("_at") > 1).select("feed_id", F.explode(follows_in).alias("_p")).select("feed_id", "_p.*").groupBy("feed_id", "nth", "old_field", "field").agg(F.count(F.lit(1)).alias("n"))
+    common = common.groupBy("feed_id", "nth").agg(F.collect_list(F.struct("old_field", "field", "n")).alias("common"))
+    sized = lambda name, shift: sizes.groupBy("feed_id", (F.col("nth") + shift).alias("nth")).agg(F.collect_list(F.struct("field", "n")).alias(name))
     pair = (
         files.drop("before")
-        .join(gathered(old, "old"), ["feed_id", "file_id"], "left")
-        .join(gathered(new, "new"), ["feed_id", "file_id"], "left")
-        .join(common, ["feed_id", "file_id"], "left")
-        .join(sized(old_values, "old_field", "old_sizes"), ["feed_id", "file_id"], "left")
-        .join(sized(new_values, "field", "new_sizes"), ["feed_id", "file_id"], "left")
+        .join(nth, here)
+        .join(gathered(old, "old"), here, "left")
+        .join(gathered(new, "new"), here, "left")
+        .join(common, ["feed_id", "nth"], "left")
+        .join(sized("old_sizes", 1), ["feed_id", "nth"], "left")
+        .join(sized("new_sizes", 0), ["feed_id", "nth"], "left")
     )
     return pair.select(F.col("feed_id").cast("long"), F.col("file_id").cast("long"), "old", "new", "common", "old_sizes", "new_sizes").mapInArrow(
         _compare, "feed_id long, file_id long, field string, change string, old_field string"
@@ -261,10 +329,11 @@ def unified(raw: DataFrame, targets: Mapping[str, str], min_likeness: float = 0.
 
     A field keeps its identity through all renamings of its feed; it fills the target that its
     first name, or else its present one, equals or is closest to (in letter triples or parts, at least
-    ``min_likeness``). Values lose list brackets, unit and decimal comma and become null where they
-    don't fit. Fields that fit no target are kept as text in the map ``others``.
+    ``min_likeness``). Values lose the brackets of a list of one, unit and decimal comma and become null where they
+    don't fit. Fields that fit no target, and lists of several values, are kept as they stand in the map ``others``. Lines
+    without any field have a row of nulls.
     """
-    long = written(line_fields(raw))
+    long = line_fields(raw)
     files = file_order(long).select("feed_id", "file_id", "nth")
     renames = schema_changes(raw, long).where("change = 'renamed'").join(files, ["feed_id", "file_id"])
     events = renames.groupBy(F.col("feed_id").cast("long").alias("feed_id")).agg(F.collect_list(F.struct("nth", "field", "old_field")).alias("events"))
@@ -292,9 +361,13 @@ def unified(raw: DataFrame, targets: Mapping[str, str], min_likeness: float = 0.
     named = present.join(origins.withColumnRenamed("feed_id", "_feed").withColumnRenamed("field", "_field"), (F.col("feed_id") == F.col("_feed")) & (F.col("field") == F.col("_field")) & (F.col("since") <= F.col("nth")), "left")
     named = named.groupBy("feed_id", "file_id", "field").agg(F.max_by("origin", F.coalesce("since", F.lit(0))).alias("origin"))
     named = named.select("feed_id", "file_id", "field", target_of(F.coalesce("origin", "field"), F.col("field")).alias("target"))
-    cells = long.where("field IS NOT NULL").join(named, ["feed_id", "file_id", "field"])
+    cells = long.join(named, ["feed_id", "file_id", "field"], "left")
     lines = cells.groupBy("feed_id", "file_id", "level", "line_no")
     typed = lambda c, kind: c.try_cast("decimal(38,6)").try_cast(kind) if kind in ("long", "bigint", "int") else c.try_cast(kind)
-    wide = [typed(F.max(F.when((F.col("target") == t) & F.col("kind").isNotNull(), F.col("value"))), kind).alias(t) for t, kind in targets.items()]
-    others = F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("target").isNull() & F.col("value").isNotNull(), F.struct("field", "value")))))
+    several = (F.col("kind") == "list") & (F.size(F.try_variant_get(F.try_parse_json("raw"), "$", "array<variant>")) > 1)
+    text = F.regexp_replace("raw", '^"|"$', "")
+    fits = lambda t, kind: (F.col("target") == t) & F.col("kind").isNotNull() & ~several
+    wide = [typed(F.max(F.when(fits(t, kind), text if kind == "string" else F.col("value"))), kind).alias(t) for t, kind in targets.items()]
+    apart = F.col("field").isNotNull() & F.col("kind").isNotNull() & (F.col("target").isNull() | several)
+    others = F.map_from_entries(F.array_distinct(F.collect_list(F.when(apart, F.struct("field", text)))))
     return lines.agg(*wide, others.alias("others"))
