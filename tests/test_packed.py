@@ -1,7 +1,8 @@
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quantloom.operators import packed
 from quantloom.operators.packed import parse, split_packed
 
 
@@ -49,3 +50,28 @@ def test_rows(rows):
     assert split_packed(df, "entry_id", ["proteinid"]).count() == 3
     assert split_packed(df.limit(0), "entry_id", ["proteinid"]).count() == 0
     assert [r.field for r in split_packed(df, "entry_id", ["value"]).where("entry_id = 3").collect()] == ["value"]
+
+
+def test_brackets_of_any_depth():
+    assert packed.parse("[" * 25 + "a;b" + "]" * 25) == [("a", False), ("b", False)]
+    assert packed.parse("{[(" * 10_000 + "a b" + ")]}" * 10_000) == [("a", False), ("b", False)]
+
+
+def test_stray_brackets_cost_no_more_than_their_number():
+    import time
+
+    began = time.perf_counter()
+    assert packed.parse("( " * 10_000 + "a;b")[-2:] == [("a", False), ("b", False)]
+    assert time.perf_counter() - began < 2  # about 0.1 s alone; the machine may be busy
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab1 ;,/|()[]{}\"'\\", min_size=1, max_size=12))
+def test_work_grows_with_the_length(unit):
+    def steps(times):
+        parser = packed._Parser(unit * times)
+        parser.values(0)
+        return len(parser.step)
+
+    assert steps(400) <= 4 * len(unit) * 400 + 1
+    assert steps(400) <= 10 * (steps(50) + 4)
