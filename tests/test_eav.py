@@ -20,7 +20,7 @@ def wide(rows, data):
      ("exp-wide", "experiment-wide"), ("experiment–wide", "experiment-wide"), ("unknown", None), ("", None), ("n/a", None), (None, None)],
 )
 def test_contexts(rows, text, context):
-    assert rows("c string", [(text,)]).select(eav.read_context(F.col("c")).alias("c")).first().c == context
+    assert rows("c string", [(text,)]).select(eav.read_context(eav.context_letters(F.col("c"))).alias("c")).first().c == context
 
 
 def test_cells_winners_and_nothing(rows):

@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from quantloom.operators.orphans import Reference, block_count, find_orphans, orphan_report
+from quantloom.operators.orphans import MAX_BLOCKS, Reference, _probe, bits_set, block_count, bloom_blocks, find_orphans, orphan_report
 
 REF = Reference("child", "key", "ref", "parent")
 CHILD, PARENT = "key long, ref long, loaded_at timestamp, id string", "id long, loaded_at timestamp, deleted_at timestamp, ref string"
@@ -68,4 +68,18 @@ def test_all_ways_agree_with_brute_force(rows):
 
 
 def test_filter_size_is_bounded():
-    assert block_count(0) == 64 and block_count(10**12) == 1 << 17 and block_count(10**5) * 256 >= 10**6
+    assert block_count(0) == 8 and block_count(10**12) == MAX_BLOCKS
+    assert block_count(1_000_000) * 512 >= 10_000_000
+    assert [bits_set(keys, block_count(keys)) for keys in (10, 10**8, 2 * 10**8, 4 * 10**8)] == [8, 4, 2, 1]
+
+
+def test_filter_has_no_false_negatives_and_proves_most(spark):
+    """With room for ten bits a key, and with the bound so tight that four, two or one bit is set."""
+    from pyspark.sql import functions as F
+
+    keys, other = spark.range(20_000).select(F.xxhash64("id").alias("_id")), spark.range(50_000, 60_000).select(F.xxhash64("id").alias("k"))
+    for blocks, bits, most in ((block_count(20_000), 8, 0.03), (200, 4, 0.2), (100, 2, 0.4), (50, 1, 0.6)):
+        filter_ = bloom_blocks(keys, "_id", blocks, bits)
+        assert bits_set(20_000, blocks) == bits
+        assert _probe(keys, "_id", filter_, blocks, bits).where("NOT _may").count() == 0
+        assert _probe(other, "k", filter_, blocks, bits).where("_may").count() < most * 10_000
