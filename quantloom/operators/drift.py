@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,23 +63,26 @@ def line_fields(raw: DataFrame) -> DataFrame:
     lines = raw.select("feed_id", "file_id", "written_at", "line_no", "payload", level).distinct()
     entries = lambda v, at: F.try_variant_get(v, at, "map<string,variant>")
     long = lines.select(*_LINE, F.explode_outer(entries(F.try_parse_json("payload"), "$")).alias("field", "_v"))
-    json = F.to_json("_v")
-    told = lambda df, rest: df.select(
-        *_LINE, F.lower("field").alias("field"), F.when(rest, None).otherwise(_kind(json)).alias("kind"), F.when(~rest, _comparable(json)).alias("value"), json.alias("raw"), rest.alias("_object")
-    )
-    is_object = F.coalesce(json.startswith("{"), F.lit(False))
-    done = written(told(long, is_object))
+    json, value, is_object = F.col("_json"), _comparable(F.col("_json")), F.coalesce(F.startswith("_json", F.lit("{")), F.lit(False))
+
+    def told(df: DataFrame) -> DataFrame:
+        """Read one level; the text passes through a generator, so that it is made once, and stands in ``raw`` only where it differs from the value."""
+        texts = df.select(*_LINE, F.lower("field").alias("field"), F.explode_outer(F.array(F.to_json("_v"))).alias("_json"))
+        seen = texts.select("*", F.explode_outer(F.array(F.when(~is_object, value))).alias("value"))
+        return written(seen.select(*_LINE, "field", F.when(~is_object, _kind(json)).alias("kind"), "value", F.when(~json.eqNullSafe(F.col("value")), json).alias("raw"), is_object.alias("_object")))
+
+    done = told(long)
     nested = "_object AND raw <> '{}'"
     parts = [done.where(f"NOT ({nested})")]
     while not done.where(nested).isEmpty():  # one level of nesting a round, over the objects only
         inner = done.where(nested).select(*_LINE, "field", F.explode(entries(F.try_parse_json("raw"), "$")).alias("_key", "_v"))
         inner = inner.select(*_LINE, F.concat("field", F.lit("."), "_key").alias("field"), "_v")
-        done = written(told(inner, is_object))
+        done = told(inner)
         parts.append(done.where(f"NOT ({nested})"))
     flat = parts[0]
     for more in parts[1:]:
         flat = flat.unionByName(more)
-    return flat.drop("_object")
+    return flat.drop("_object").withColumn("raw", F.coalesce("raw", "value"))
 
 
 def file_order(long: DataFrame) -> DataFrame:
@@ -103,6 +107,7 @@ def _parts(name: str) -> list[str]:
     return [p for p in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", name) if p] or [name]
 
 
+@lru_cache(maxsize=100_000)
 def _likeness(a: str, b: str) -> float:
     """Dice coefficient of the names' letter triples."""
     grams = [{f"  {x} "[i : i + 3] for i in range(len(x) + 1)} for x in (a, b)]
@@ -113,6 +118,7 @@ def _likeness(a: str, b: str) -> float:
 EMPTY_PARTS = ("var", "main", "score", "x", "feature", "v")
 
 
+@lru_cache(maxsize=100_000)
 def _affinity(name: str, target: str) -> float:
     """Likeness of two names in letters or in parts, without parts that say nothing (``EMPTY_PARTS`` and a number after ``v``)."""
     parts = [{p for p in _parts(re.sub(r"(?<![a-z])v[0-9]+$", "", x)) if p not in EMPTY_PARTS} for x in (name, target)]
@@ -286,10 +292,13 @@ def schema_changes(raw: DataFrame, long: DataFrame | None = None) -> DataFrame:
     cells = long.where("kind IS NOT NULL").select(*here, "field", F.xxhash64("value").alias("_h")).join(fields, [*here, "field"])
     cells = cells.groupBy("feed_id", "_h", "nth", "field").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     seen = cells.groupBy("feed_id", "_h").agg(F.collect_list(F.struct("nth", "field")).alias("_at"))
-    sizes = cells.groupBy("feed_id", "nth", "field").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string").alias("old_field")
+    itself = F.transform("_at", lambda x: F.struct(x["nth"].alias("nth"), none, x["field"].alias("field")))
     follows_in = F.flatten(F.transform("_at", lambda x: F.transform(F.filter("_at", lambda y: y["nth"] == x["nth"] + 1), lambda y: F.struct(y["nth"].alias("nth"), x["field"].alias("old_field"), y["field"].alias("field")))))
-    common = seen.where(F.size("_at") > 1).select("feed_id", F.explode(follows_in).alias("_p")).select("feed_id", "_p.*").groupBy("feed_id", "nth", "old_field", "field").agg(F.count(F.lit(1)).alias("n"))
-    common = common.groupBy("feed_id", "nth").agg(F.collect_list(F.struct("old_field", "field", "n")).alias("common"))
+    both = seen.select("feed_id", F.inline(F.concat(itself, F.when(F.size("_at") > 1, follows_in).otherwise(F.slice(itself, 1, 0)))))
+    counts = written(both.groupBy("feed_id", "nth", "old_field", "field").agg(F.count(F.lit(1)).alias("n")))  # of a schema's size
+    common = counts.where("old_field IS NOT NULL").groupBy("feed_id", "nth").agg(F.collect_list(F.struct("old_field", "field", "n")).alias("common"))
+    sizes = counts.where("old_field IS NULL")
     sized = lambda name, shift: sizes.groupBy("feed_id", (F.col("nth") + shift).alias("nth")).agg(F.collect_list(F.struct("field", "n")).alias(name))
     pair = (
         files.drop("before")
