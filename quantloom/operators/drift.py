@@ -309,7 +309,9 @@ def schema_changes(raw: DataFrame, long: DataFrame | None = None) -> DataFrame:
         .join(sized("old_sizes", 1), ["feed_id", "nth"], "left")
         .join(sized("new_sizes", 0), ["feed_id", "nth"], "left")
     )
-    return pair.select(F.col("feed_id").cast("long"), F.col("file_id").cast("long"), "old", "new", "common", "old_sizes", "new_sizes").mapInArrow(
+    pair = pair.select(F.col("feed_id").cast("long"), F.col("file_id").cast("long"), "old", "new", "common", "old_sizes", "new_sizes")
+    # Few bytes but a flood each, so spread by number, not by size.
+    return pair.repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(
         _compare, "feed_id long, file_id long, field string, change string, old_field string"
     )
 
