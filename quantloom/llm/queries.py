@@ -24,7 +24,18 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_n(scored, ["run_id", "precursor_id"], "score", ["feature_id"], 3).select("run_id", "precursor_id", "feature_id", "pos")
 
 
-@QUERIES.add("p5_found")
+_NAMED = "SELECT DISTINCT id, traml_id, decoy FROM precursor WHERE id IS NOT NULL AND traml_id IS NOT NULL"
+_EDGES_SQL = f"""SELECT DISTINCT x.precursor_id AS a, y.precursor_id AS b FROM precursor_peptide_mapping x JOIN precursor_peptide_mapping y USING (peptide_id)
+UNION SELECT d.id, t.id FROM (SELECT id, traml_id, unnest([regexp_replace(traml_id, '{splits.START}', ''), regexp_replace(traml_id, '{splits.END}', '')]) AS name FROM ({_NAMED}) WHERE decoy = 1) d
+JOIN ({_NAMED}) t ON t.traml_id = d.name AND t.decoy = 0 AND d.name <> d.traml_id"""
+
+
+@QUERIES.add(
+    "p5_found",
+    f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_EDGES_SQL}) UNION SELECT b, a FROM ({_EDGES_SQL})),
+r AS (SELECT a AS node, b AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT node AS precursor_id, min(seen) AS set_id FROM r WHERE node IN (SELECT id FROM precursor) GROUP BY node HAVING count(DISTINCT seen) > 1""",
+)
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.precursor_sets(table(spark, sf, "precursor"), table(spark, sf, "precursor_peptide_mapping"))
 
@@ -40,7 +51,7 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add("p5_shares")
 def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return _splits(spark, sf).groupBy("split", "run_id", "decoy").agg(F.count(F.lit(1)).alias("n_rows"))
+    return splits.reached_shares(_splits(spark, sf), ["run_id", "decoy"], splits.SHARES)
 
 
 @QUERIES.add("p7_ids")

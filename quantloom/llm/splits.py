@@ -2,7 +2,7 @@
 
 Components are found by alternating large-star and small-star steps; their label vectors are
 added up over cells of entities, which grouped iterative stratification places, the
-rarest outstanding label first.
+rarest outstanding label first, and refines until no move of a cell brings the shares closer.
 """
 
 from __future__ import annotations
@@ -65,15 +65,15 @@ def ties(rows: DataFrame, member: str, key: str) -> DataFrame:
 
 #: Words that mark a decoy at the start or end of a name, and the signs that set them off.
 DECOY_WORDS = "decoy|reversed|reverse|rev|shuffled|shuffle|random|rand|rnd|pseudo|xxx|dec"
-_START = rf"(?i)^(#+|[^A-Za-z0-9]*)({DECOY_WORDS})(#+|[^A-Za-z0-9]+)"
-_END = rf"(?i)(#+|[^A-Za-z0-9]+)({DECOY_WORDS})[^A-Za-z0-9]*$"
+START = rf"(?i)^(#+|[^A-Za-z0-9]*)({DECOY_WORDS})(#+|[^A-Za-z0-9]+)"
+END = rf"(?i)(#+|[^A-Za-z0-9]+)({DECOY_WORDS})[^A-Za-z0-9]*$"
 
 
 def precursor_ties(precursors: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges between precursors of one peptide, and between a decoy and the target its name is made from."""
     named = precursors.where("id IS NOT NULL AND traml_id IS NOT NULL").select("id", "traml_id", "decoy").distinct()
     targets = named.where("decoy = 0").select("id", F.col("traml_id").alias("name"))
-    bases = F.array(*[F.regexp_replace("traml_id", p, "") for p in (_START, _END)])
+    bases = F.array(*[F.regexp_replace("traml_id", p, "") for p in (START, END)])
     decoys = named.where("decoy = 1").select("id", "traml_id", F.explode(bases).alias("name")).where("name <> traml_id").select("id", "name").distinct()
     pairs = decoys.join(targets.select("name").distinct(), "name", "left_semi").unionByName(targets.join(decoys.select("name").distinct(), "name", "left_semi"))
     return ties(mapping, "precursor_id", "peptide_id").union(ties(pairs, "id", "name"))
@@ -85,40 +85,24 @@ def precursor_sets(precursors: DataFrame, mapping: DataFrame) -> DataFrame:
     return found.join(precursors.select(F.col("id").alias("precursor_id")).distinct(), "precursor_id", "left_semi")
 
 
-def stratify(
-    vectors: dict[str, dict[str, float]],
-    shares: Sequence[float],
-    given: dict[str, dict[int, float]] | None = None,
-    sizes: dict[str, float] | None = None,
-    need_all: Sequence[float] | None = None,
-) -> dict[str, int]:
-    """Place every cell (name: rows by label) into a split: iterative stratification for whole groups.
+def _stratified(m, size, shares: Sequence[float], before=None, need_all=None):
+    """Splits of cells from their rows by label (``m``: cells x labels), grouped iterative stratification and refinement.
 
-    The label with the fewest outstanding rows comes first; its cells, largest first, go each to the
-    split that needs this label most (then: most rows at all, then the earlier split). Where cells were placed before,
-    ``given`` has their rows by label and split, and ``need_all`` the rows each split still needs; where vectors have
-    only some of the labels, ``sizes`` has all rows of a cell.
+    The label with the fewest outstanding rows comes first; its cells, largest first, go each to the split that needs this
+    label most (then: most rows at all, then the earlier split). Then cells are moved, one at a time, as long as a move brings the rows by
+    label and split closer to the wished shares (by the chi-square of all labels, and all rows as a label of ten times the weight).
+    ``before``: rows by split and label placed earlier; ``need_all``: rows each split still needs.
     """
     import numpy as np
 
-    cells = sorted(vectors)
-    labels = sorted({label for v in vectors.values() for label in v})
-    at = {label: i for i, label in enumerate(labels)}
-    m = np.zeros((len(cells), len(labels)))
-    for i, c in enumerate(cells):
-        for label, n in vectors[c].items():
-            m[i, at[label]] += n
-    before = np.zeros((len(shares), len(labels)))
-    for label, rows in (given or {}).items():
-        for k, n in rows.items():
-            if label in at:
-                before[k, at[label]] += n
-    size = m.sum(axis=1) if sizes is None else np.array([sizes[c] for c in cells], float)
+    k, cells = len(shares), len(m)
     share = np.asarray(shares, float)[:, None]
-    need = share * (m.sum(axis=0) + before.sum(axis=0)) - before
-    need_all = share[:, 0] * m.sum() if need_all is None else np.array(need_all, float)
-    left, out = m.sum(axis=0), np.ones(len(cells), bool)
-    placed: dict[str, int] = {}
+    before = np.zeros((k, m.shape[1])) if before is None else before
+    need_all = share[:, 0] * size.sum() if need_all is None else np.array(need_all, float)
+    want = share * (m.sum(axis=0) + before.sum(axis=0))
+    need, wished = want - before, need_all.copy()
+    left, out = m.sum(axis=0), np.ones(cells, bool)
+    place = np.zeros(cells, int)
     while out.any():
         open_labels = np.where(left > 0.5)[0]
         if len(open_labels) == 0:
@@ -129,42 +113,85 @@ def stratify(
             rest = rest[np.lexsort((rest, -m[rest, label]))]
         for i in rest:
             wish = need[:, label] if label is not None else need_all
-            s = max(range(len(shares)), key=lambda k: (wish[k], need_all[k], -k))
-            placed[cells[i]] = s
+            place[i] = s = max(range(k), key=lambda x: (wish[x], need_all[x], -x))
             need[s] -= m[i]
             need_all[s] -= size[i]
             left -= m[i]
             out[i] = False
-    return placed
+    # Refinement: excess over the wish by split, all rows as the last label.
+    vectors = np.concatenate([m, size[:, None]], axis=1)
+    weight = np.concatenate([1 / np.maximum(want, 1), 10 / np.maximum(share * max(size.sum(), 1), 1)], axis=1)
+    excess = -np.concatenate([need, (wished - np.bincount(place, size, k))[:, None]], axis=1)
+    squares = (vectors**2) @ weight.T
+    moved = True
+    while moved:
+        moved = False
+        for i in np.argsort(-size, kind="stable"):
+            v, own = vectors[i], place[i]
+            pull = (excess * weight) @ v
+            gain = 2 * (pull - pull[own]) + squares[i] + squares[i, own]  # change of the chi-square by moving to each split
+            gain[own] = 0.0
+            to = int(np.argmin(gain))
+            if gain[to] < -1e-6:
+                excess[own] -= v
+                excess[to] += v
+                place[i] = to
+                moved = True
+    return place
+
+
+def stratify(vectors: dict[str, dict[str, float]], shares: Sequence[float]) -> dict[str, int]:
+    """The split of every cell (name: rows by label), as ``_stratified`` places them."""
+    import numpy as np
+
+    cells = sorted(vectors)
+    labels = {label: i for i, label in enumerate(sorted({x for v in vectors.values() for x in v}))}
+    m = np.zeros((len(cells), len(labels)))
+    for i, c in enumerate(cells):
+        for label, n in vectors[c].items():
+            m[i, labels[label]] += n
+    return dict(zip(cells, _stratified(m, m.sum(axis=1), shares).tolist()))
 
 
-#: Cells of a label at the least, so that a cell is about the smallest share (a tenth) of a label's own rows or less.
-LABEL_CELLS = 10
+#: Cells of a label at the least, so that a cell is a small part of even a small share of its rows.
+LABEL_CELLS = 32
 
 
-def _placed(vectors: DataFrame, totals: DataFrame, passes: int, total: int, shares: Sequence[float]) -> dict[str, int]:
-    """Splits of all cells from their vectors ``_cell, _label, n``; ``totals`` has the pass of each label."""
-    if passes <= 1:
-        cells: dict[str, dict[str, float]] = {}
-        for r in vectors.collect():
-            cells.setdefault(r["_cell"], {})[r["_label"]] = r["n"]
-        return stratify(cells, shares)
-    vectors = written(vectors.join(F.broadcast(totals), "_label").select("_cell", "_label", "n", "_pass").repartitionByRange("_pass", "_cell"))
-    sizes = {r["_cell"]: r["n"] for r in vectors.groupBy("_cell").agg(F.sum("n").alias("n")).collect()}
-    placed: dict[str, int] = {}
-    need_all = [share * total for share in shares]
+def _placed(vectors: DataFrame, passes: int, max_labels: int, total: int, shares: Sequence[float]) -> dict[int, int]:
+    """Splits of all cells from their vectors ``_cell, _l, n``; labels are numbered by rarity, ``max_labels`` to a pass."""
+    import numpy as np
+
+    spark = vectors.sparkSession
+
+    def filled(frame, names, low: int):
+        m = np.zeros((len(names), max_labels))
+        np.add.at(m, (np.searchsorted(names, frame["key"].to_numpy()), frame["_l"].to_numpy() - low), frame["n"].to_numpy())
+        return m
+
+    if passes > 1:
+        vectors = written(vectors)
+    sizes = vectors.groupBy("_cell").agg(F.sum("n").alias("n")).toPandas().sort_values("_cell")  # a row a cell
+    all_cells, all_sizes = sizes["_cell"].to_numpy(), sizes["n"].to_numpy(float)
+    placed: dict[int, int] = {}
+    need_all = np.array([share * total for share in shares])
     for k in range(passes):
-        known = F.broadcast(vectors.sparkSession.createDataFrame(list(placed.items()), "_cell string, _split int"))
-        met = vectors.where(F.col("_pass") == k).join(known, "_cell", "left")
-        cells, given = {}, {}
-        for r in met.groupBy(F.when(F.col("_split").isNull(), F.col("_cell")).alias("_open"), "_label", "_split").agg(F.sum("n").alias("n")).collect():
-            if r["_open"] is None:
-                given.setdefault(r["_label"], {})[r["_split"]] = r["n"]
-            else:
-                cells.setdefault(r["_open"], {})[r["_label"]] = r["n"]
-        for c, s in stratify(cells, shares, given, sizes, need_all).items():
-            placed[c] = s
-            need_all[s] -= sizes[c]
+        low = k * max_labels
+        here = vectors.where(F.col("_l").between(low, low + max_labels - 1))
+        before = np.zeros((len(shares), max_labels))
+        if placed:
+            known = F.broadcast(spark.createDataFrame(list(placed.items()), "_cell long, _split int"))
+            met = here.join(known, "_cell", "left")
+            given = met.where("_split IS NOT NULL").groupBy(F.col("_split").cast("long").alias("key"), "_l").agg(F.sum("n").alias("n")).toPandas()
+            before = filled(given, np.arange(len(shares)), low) if len(given) else before
+            here = met.where("_split IS NULL")
+        frame = here.select(F.col("_cell").alias("key"), "_l", "n").toPandas()
+        cells = np.unique(frame["key"].to_numpy())
+        if not len(cells):
+            continue
+        size = all_sizes[np.searchsorted(all_cells, cells)]
+        place = _stratified(filled(frame, cells, low), size, shares, before, need_all)
+        placed |= dict(zip(cells.tolist(), place.tolist()))
+        need_all = need_all - np.bincount(place, size, len(shares))
     return placed
 
 
@@ -174,7 +201,7 @@ def grouped_splits(
     record: str,
     labels: Sequence[str],
     shares: dict[str, float],
-    max_cells: int = 2048,
+    max_cells: int = 1 << 14,
     max_labels: int = 256,
 ) -> DataFrame:
     """``records`` with a column ``split`` such that all records of an entity share it and ``shares`` hold for all labels.
@@ -183,36 +210,49 @@ def grouped_splits(
     rows is a cell for itself; all others are put into cells by their rarest label and a hash of
     the entity, at least ``LABEL_CELLS`` for each label. Labels are never folded: they are taken rarest first, ``max_labels`` in
     a pass, and a cell is placed in the pass of its rarest label. Of a pass only the vectors of its own cells over its own labels
-    reach the driver; beside these it holds the totals of the labels and the places of the cells.
+    reach the driver (with one pass at most ``max_cells`` times ``max_labels`` numbers); beside these it holds the totals of the labels and
+    the places of the cells. What is left between the wished and the reached shares is at most about a cell, unless an entity is larger.
     """
     names, spark = list(shares), records.sparkSession
     label = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(c) for c in labels]))
     rows = records.withColumn("_label", label)
-    per_label = max(LABEL_CELLS, max_cells // max(1, rows.select("_label").distinct().count()))
-    cell = lambda key, rarest: F.concat(F.lit("cell "), F.pmod(F.xxhash64(key, F.lit(7)), F.lit(per_label)).cast("string"), F.lit(" "), F.col(rarest))
-    counted = cut(rows.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("_of"), "_label").agg(F.count(F.lit(1)).alias("n")))
-    # A record without entity has one label, so its cell follows from the row alone and needs no join.
-    alone = rows.where(F.col(entity).isNull()).withColumn("_cell", cell(record, "_label"))
-    alone_counts = cut(alone.groupBy("_cell", "_label").agg(F.count(F.lit(1)).alias("n")))
-    sums = counted.select("_label", "n").union(alone_counts.select("_label", "n")).groupBy("_label").agg(F.sum("n").alias("_total"))
-    by_rarity = sorted((r["_total"], r["_label"]) for r in sums.collect())  # a row a label
+    by_rarity = sorted((r["n"], r["_label"]) for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a label
     total = sum(n for n, _ in by_rarity)
-    totals = spark.createDataFrame([(name, n, i // max_labels) for i, (n, name) in enumerate(by_rarity)], "_label string, _total long, _pass int")
-    entities = cut(
-        counted.join(F.broadcast(totals), "_label")
-        .groupBy("_of")
-        .agg(F.sum("n").alias("_size"), F.min_by("_label", F.struct("_total", "_label")).alias("_rarest"))
-        .select("_of", F.when(F.col("_size") * max_cells > total, F.concat(F.lit("one "), F.col("_of").cast("string"))).otherwise(cell("_of", "_rarest")).alias("_cell"))
-    )
-    vectors = counted.join(entities, "_of").select("_cell", "_label", "n").union(alone_counts).groupBy("_cell", "_label").agg(F.sum("n").alias("n"))
-    placed = _placed(vectors, totals, -(-len(by_rarity) // max_labels), total, [shares[k] for k in names])
-    where = F.broadcast(spark.createDataFrame([(c, names[s]) for c, s in placed.items()] or [("", names[0])], "_cell string, split string"))
+    numbered = F.broadcast(spark.createDataFrame([(name, i) for i, (_, name) in enumerate(by_rarity)], "_label string, _l int"))
+    rows = rows.join(numbered, "_label").drop("_label")
+    per_label = max(LABEL_CELLS, max_cells // max(1, len(by_rarity)))
+    cell = lambda key, rarest: F.col(rarest).cast("long") * per_label + F.pmod(F.xxhash64(key, F.lit(7)), F.lit(per_label))
+    counted = cut(rows.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("_of"), "_l").agg(F.count(F.lit(1)).alias("n")))
+    # A record without entity has one label, so its cell follows from the row alone and needs no join.
+    alone = rows.where(F.col(entity).isNull()).withColumn("_cell", cell(record, "_l"))
+    entities = cut(counted.groupBy("_of").agg(F.sum("n").alias("_size"), F.min("_l").alias("_rarest")))
+    large = entities.where(F.col("_size") * max_cells > total).select("_of").orderBy("_of").collect()  # fewer than max_cells
+    own = F.broadcast(spark.createDataFrame([(r["_of"], -1 - i) for i, r in enumerate(large)], entities.select("_of", F.lit(0).cast("long").alias("_own")).schema))
+    entities = entities.join(own, "_of", "left").select("_of", F.coalesce("_own", cell("_of", "_rarest")).alias("_cell"))
+    vectors = counted.join(entities, "_of").select("_cell", "_l", "n").union(alone.groupBy("_cell", "_l").agg(F.count(F.lit(1)).alias("n"))).groupBy("_cell", "_l").agg(F.sum("n").alias("n"))
+    placed = _placed(vectors, -(-len(by_rarity) // max_labels), max_labels, total, [shares[k] for k in names])
+    where = F.broadcast(spark.createDataFrame([(c, names[s]) for c, s in placed.items()] or [(0, names[0])], "_cell long, split string"))
     decided = entities.join(where, "_cell").select("_of", "split")
     out = [*records.columns, "split"]
     mine = join_small(rows.where(F.col(entity).isNotNull()), decided, entity, "_of", "inner", entities.count())
     return mine.select(*out).unionByName(alone.join(where, "_cell").select(*out))
 
 
+def reached_shares(placed: DataFrame, labels: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """Per label and split: rows, the share of the label's rows that was reached, and by how much it misses the wish; a row with ``level``
+    ``all`` a split for all rows. Splits without any row of a label have a row too."""
+    counts = placed.groupBy(*labels, "split").agg(F.count(F.lit(1)).alias("n_rows"))  # everything below is a row a label and split
+
+    def told(level: str, keys: list[str]) -> DataFrame:
+        own = counts.groupBy(*[F.struct(*keys).alias("_k") if keys else F.lit(0).alias("_k")]).agg(F.sum("n_rows").alias("_all"), *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n_rows"))), F.lit(0)).alias(f"_n{i}") for i, s in enumerate(shares)])
+        each = own.select("_k", "_all", F.array(*[f"_n{i}" for i in range(len(shares))]).alias("_ns"), F.posexplode(F.array(*[F.struct(F.lit(s).alias("split"), F.lit(float(x)).alias("wish")) for s, x in shares.items()])).alias("_i", "_s"))
+        share = F.get("_ns", F.col("_i")) / F.col("_all")
+        named = [F.col(f"_k.{c}") if keys else F.lit(None).cast(dict(placed.dtypes)[c]).alias(c) for c in labels]
+        return each.select(F.lit(level).alias("level"), *named, F.col("_s.split").alias("split"), F.get("_ns", F.col("_i")).alias("n_rows"), F.round(share, 6).alias("share"), F.round(share - F.col("_s.wish"), 6).alias("deviation"))
+
+    return told("label", list(labels)).unionByName(told("all", []))
+
+
 def join_small(rows: DataFrame, other: DataFrame, key: str, other_key: str, how: str, other_rows: int) -> DataFrame:
     """A broadcast join where ``other`` is known to be small, else a shuffled one that spares hot keys."""
     if other_rows <= MAX_BROADCAST_ROWS:

@@ -99,3 +99,21 @@ def test_every_run_and_decoy_value_is_in_every_split(rows):
     for decoy in (0, 1):
         own = [r.split for r in got if r.decoy == decoy]
         assert all(abs(own.count(name) / len(own) - share) < 0.04 for name, share in splits.SHARES.items())
+
+
+def test_shares_are_met_closely_unless_one_entity_forbids(rows):
+    """One entity holds a third of run 3; entities span runs. All rows within half a point, labels of over 1000 rows within one."""
+    rng = random.Random(9)
+    data = [(i, 1 if i % 12 == 3 else rng.randrange(2, 4000), i % 4, rng.randrange(2)) for i in range(20_000)]
+    df = rows("id long, entity long, run long, decoy int", data)
+    told = splits.reached_shares(splits.grouped_splits(df, "entity", "id", ["run", "decoy"], splits.SHARES), ["run", "decoy"], splits.SHARES).collect()
+    assert len(told) == 3 * 9 and sum(r.n_rows for r in told if r.level == "all") == 20_000
+    assert all(abs(r.deviation) <= 0.005 for r in told if r.level == "all")
+    assert all(abs(r.deviation) <= 0.01 for r in told if r.level == "label")
+
+
+def test_reached_shares_of_nothing_and_absent_splits(rows):
+    df = rows("run long, split string", [(1, "train"), (1, "train"), (None, "test")])
+    told = {(r.level, r.run, r.split): (r.n_rows, r.share) for r in splits.reached_shares(df, ["run"], splits.SHARES).collect()}
+    assert told["label", 1, "train"] == (2, 1.0) and told["label", 1, "test"] == (0, 0.0) and told["label", None, "test"] == (1, 1.0)
+    assert splits.reached_shares(df.limit(0), ["run"], splits.SHARES).where("level = 'label'").count() == 0
