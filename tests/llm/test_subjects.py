@@ -1,5 +1,8 @@
+import os
 import random
 
+import pytest
+
 from quantloom.llm import subjects as S
 
 WORDS = {
@@ -67,3 +70,56 @@ def test_very_long_text():
     model = S.train(corpus(2, 60), sorted(WORDS))
     rng = random.Random(4)
     assert model.subjects_of(" ".join(sentence(rng, "sport") for _ in range(20_000))) == ["sport"]
+
+
+def test_classes_are_fitted_by_themselves():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = S._Rows([rng.integers(0, 500, rng.integers(1, 9)).tolist() for _ in range(700)])
+    target, weight = rng.random((700, 4)).astype(np.float32), np.ones(700, np.float32)
+    whole = S._fit(rows, np.arange(700), target, weight, epochs=2)
+    part = S._fit(rows, np.arange(700), np.ascontiguousarray(target[:, [2]]), weight, epochs=2)
+    assert np.allclose(whole[0][:, 2], part[0][:, 0], atol=1e-5) and np.allclose(whole[1][2], part[1][0], atol=1e-5)
+
+
+def test_training_in_tasks_equals_training_here(spark):
+    import numpy as np
+
+    data = corpus(2, 60)
+    here, there = S.train(data, sorted(WORDS)), S.train(data, sorted(WORDS), each=S.in_tasks(spark))
+    assert np.allclose(here.weights, there.weights) and np.allclose(here.bias, there.bias)
+
+
+def test_sample_is_bounded_and_takes_long_texts_whole(rows):
+    long = " ".join(["court licence."] * 10_000)
+    documents = rows("doc_id long, text string, source string", [(i, long if i % 2 else "short court.", "legal") for i in range(40)])
+    labels = rows("doc_id long, subject string", [(i, "law") for i in range(40)])
+    labelled = S.labelled_documents(documents, labels, ["law"])
+    every = S.training_sample(labelled)
+    assert {len(t) for _, t, _, _ in every} == {len(long), 12} and len(long) > 100_001
+    few = S.training_sample(labelled, max_chars=2 * len(long) + 100)
+    assert sum(len(t) for _, t, _, _ in few) <= 2 * len(long) + 100 and len(few) > 2
+    assert len(S.training_sample(labelled, max_labelled=3)) == 3
+
+
+def test_source_says_what_a_missing_label_may_be():
+    """Documents of one source deal with two subjects, and one of them is never labelled in half of them."""
+    rng = random.Random(5)
+    data = [(i, " ".join(sentence(rng, s) for s in ("law", "food") for _ in range(4)), ["law", "food"] if i % 2 else ["law"], "legal") for i in range(120)]
+    data += [(1000 + i, " ".join(sentence(rng, "sport") for _ in range(6)), ["sport"], "club") for i in range(60)]
+    model = S.train(data, sorted(WORDS))
+    assert model.subjects_of(" ".join(sentence(rng, s) for s in ("law", "food") for _ in range(5))) == ["food", "law"]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/subject_labels.parquet"), reason="needs the driver's tables")
+def test_held_out_labels_of_the_corpus(spark):
+    """F1 on the fifth of the labelled documents that training did not see; about a tenth of all labels are wrong or missing."""
+    documents, labels, subjects = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "subject_labels", "subjects"))
+    names = sorted(r.subject for r in subjects.collect())
+    labelled = S.labelled_documents(documents, labels, names)
+    model = S.train(S.training_sample(labelled), names, each=S.in_tasks(spark))
+    reached = S.held_out_counts(labelled, model)
+    hit = sum(n for (_, k, y), n in reached.items() if y and k > S.GRID.index(0.2))
+    wrong = sum(n for (_, k, y), n in reached.items() if y != (k > S.GRID.index(0.2)))
+    assert 2 * hit / (2 * hit + wrong) > 0.85
