@@ -191,6 +191,15 @@ def in_tasks(spark) -> Each:
 Labelled = tuple[int, str, list[str]] | tuple[int, str, list[str], str | None]
 
 
+def by_source(allowed, sources: Sequence[str | None]):
+    """For each document the part of its source's labelled documents that has each label, shrunk by ten documents without any; 0 without source."""
+    import numpy as np
+
+    names, of = np.unique([x or "" for x in sources], return_inverse=True)
+    parts = np.stack([allowed[of == k].sum(axis=0) / ((of == k).sum() + 10) * (names[k] != "") for k in range(len(names))])
+    return parts[of].astype(np.float32)
+
+
 def train(labelled: Sequence[Labelled], subjects: list[str], rounds: int = 3, each: Each = map) -> Model:
     """A model from ``(id, text, subjects, source)`` of labelled documents.
 
@@ -214,9 +223,7 @@ def train(labelled: Sequence[Labelled], subjects: list[str], rounds: int = 3, ea
     if not found:
         return Model(subjects, np.zeros((BUCKETS, classes), np.float32), np.eye(1, classes, classes - 1, dtype=np.float32)[0], [MIN_SHARE] * len(subjects))
     rows = _Rows(found)
-    sources = np.unique([(x[3] if len(x) > 3 else None) or "" for x in labelled], return_inverse=True)[1]
-    by_source = np.stack([allowed[sources == k].sum(axis=0) / ((sources == k).sum() + 10) for k in range(sources.max() + 1)])  # shrunk where a source has few
-    mask, likely = allowed[doc_of], by_source[sources][doc_of]
+    mask, likely = allowed[doc_of], by_source(allowed, [x[3] if len(x) > 3 else None for x in labelled])[doc_of]
     target = mask / np.maximum(mask.sum(axis=1, keepdims=True), 1)
     target[:, -1] = (mask.sum(axis=1) == 0).astype(np.float32)
     weight = np.ones(len(found), np.float32)

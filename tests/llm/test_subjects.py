@@ -103,11 +103,15 @@ def test_sample_is_bounded_and_takes_long_texts_whole(rows):
     assert len(S.training_sample(labelled, max_labelled=3)) == 3
 
 
-def test_source_says_what_a_missing_label_may_be():
-    """Documents of one source deal with two subjects, and one of them is never labelled in half of them."""
+def test_sources_as_weak_labels():
+    import numpy as np
+
+    allowed = np.array([[1, 0]] * 8 + [[0, 1]] * 2 + [[1, 1]], np.float32)
+    parts = S.by_source(allowed, ["court"] * 10 + [None])
+    assert np.allclose(parts[0], [8 / 20, 2 / 20]) and np.allclose(parts[9], parts[0]) and not parts[10].any()
     rng = random.Random(5)
-    data = [(i, " ".join(sentence(rng, s) for s in ("law", "food") for _ in range(4)), ["law", "food"] if i % 2 else ["law"], "legal") for i in range(120)]
-    data += [(1000 + i, " ".join(sentence(rng, "sport") for _ in range(6)), ["sport"], "club") for i in range(60)]
+    data = [(i, " ".join(sentence(rng, s) for s in names for _ in range(4)), list(names[: 1 + (i % 3 > 0)]), "legal") for i in range(120) for names in [("law", "food") if i % 2 else ("food",)]]
+    data += [(1000 + i, " ".join(sentence(rng, "law") for _ in range(6)), ["law"], None) for i in range(60)]
     model = S.train(data, sorted(WORDS))
     assert model.subjects_of(" ".join(sentence(rng, s) for s in ("law", "food") for _ in range(5))) == ["food", "law"]
 
