@@ -82,7 +82,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         own, merged = api.load(spark, a.store), api.load(spark, a.merged)
         api.save({n: backpropagate(own["feature"], merged[n]) for n in ("score_peptide", "score_protein") if n in merged}, a.out)
     else:
-        api.statistics(api.load(spark, a.store)).orderBy("run_id").show(1000, truncate=False)
+        rows = api.statistics(api.load(spark, a.store)).orderBy("run_id")
+        print("\t".join(rows.columns))
+        for r in rows.toLocalIterator():
+            print("\t".join("" if v is None else str(v) for v in r))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators import bayes, eav, export, files, learn, quant, relational, report, stats
-from quantloom.sources import readers, writers
+from quantloom.sources import paths, readers, writers
 
 TABLES = ("run", "feature", "feature_ms1", "feature_ms2", "feature_transition", "precursor", "precursor_peptide_mapping", "peptide", "peptide_protein_mapping", "protein", "transition", "score_ms2", "score_peptide", "score_protein", "score_transition")
 
 
 def load(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     """The tables of a store: a folder with one ``<name>.parquet`` per table, or any file the readers know."""
-    if os.path.isdir(store):
-        found = {n: readers.read_parquet(spark, f"{store}/{n}.parquet") for n in TABLES if os.path.exists(f"{store}/{n}.parquet")}
+    if paths.is_dir(store):
+        found = {n: readers.read_parquet(spark, f"{store}/{n}.parquet") for n in TABLES if paths.exists(f"{store}/{n}.parquet")}
         if found:
             return found
     return readers.read_store(spark, store)
@@ -51,22 +50,19 @@ def choose_main_score(data: learn.Prepared, candidates: Sequence[str] | None = N
     return min(gaps, key=lambda c: (gaps[c], c))
 
 
-def infer_entities(rows: DataFrame, entity: str, context: str, score_column: str = "score", run: str = "run_id", ties: Sequence[str] = ("feature_id",), lambdas=0.4, local_fdr: bool = True) -> DataFrame:
+def infer_entities(rows: DataFrame, entity: str, context: str, score_column: str = "score", run: str = "run_id", ties: Sequence[str] = ("feature_id",), lambdas=0.4, local_fdr: bool = True, parametric: bool = False, pfdr: bool = False, method: str = "bootstrap") -> DataFrame:
     """Error control of entities in one context: ``global`` (best of all runs), ``experiment-wide`` (best per run, one model), ``run-specific`` (a model per run).
 
-    Returns ``context, run_id, <entity>, decoy, score`` and p-, q-value and PEP.
+    Returns ``context, run_id, <entity>, decoy, score`` and p-, s-, q-value and PEP, for decoys as for targets those of the nearest score in the table.
     """
     if context not in ("global", "experiment-wide", "run-specific"):
         raise ValueError(f"unknown context {context}")
     groups = [entity] if context == "global" else [entity, run]
     keys = (run,) if context == "run-specific" else ()
     best = stats.best_per_group(rows, groups, score_column, ties)
-    table = stats.error_table(best, score_column, "decoy", keys, lambdas, local_fdr=local_fdr)
-    names = ["pvalue", "qvalue", *(["pep"] if local_fdr else [])]
-    if keys:  # a run's rows meet their own run's table: exact for targets, decoys get none
-        told = best.join(table.select(*keys, F.col("cutoff").alias(score_column), *names), [*keys, score_column], "left")
-    else:
-        told = stats.nearest(best, score_column, table.select("cutoff", *names), "cutoff").drop("cutoff")
+    table = stats.error_table(best, score_column, "decoy", keys, lambdas, method, pfdr, local_fdr, parametric)
+    names = ["pvalue", "svalue", "qvalue", *(["pep"] if local_fdr else [])]
+    told = stats.nearest(best, score_column, table.select(*keys, "cutoff", *names), "cutoff", keys).drop("cutoff")
     run_column = F.lit(None).cast("long") if context == "global" else F.col(run)
     return told.select(F.lit(context).alias("context"), run_column.alias("run_id"), entity, "decoy", F.col(score_column).alias("score"), *names)
 
@@ -75,8 +71,8 @@ def infer_peptidoforms(precursors: DataFrame, transitions: DataFrame, max_precur
     """Peptidoform error rates per feature. ``alignment`` (feature_id, alignment_group_id) lets aligned features share confident evidence;
     ``filters`` are those of ``bayes.support_filter``."""
     prepared = bayes.precursor_inference(precursors, max_precursor_pep)
-    if alignment is not None:
-        grouped = transitions.join(alignment.select("feature_id", "alignment_group_id"), "feature_id", "left").withColumn("is_aligned", F.col("alignment_group_id").isNotNull())
+    if alignment is not None:  # priors of the precursors are shared along with the evidence
+        grouped = transitions.join(prepared, "feature_id").join(alignment.select("feature_id", "alignment_group_id"), "feature_id", "left").withColumn("is_aligned", F.col("alignment_group_id").isNotNull())
         extra = [c for c in ("n_mapped_peptides", "has_phospho_loss", "isotope_overlap_score") if c in transitions.columns]
         transitions = bayes.propagated(grouped, propagate_pep, extra).drop("alignment_group_id")
     found = bayes.peptidoform_inference(transitions, prepared, grouped_fdr, log_space, eps)
@@ -92,7 +88,8 @@ def export_tsv(tables: dict[str, DataFrame], limits: export.Thresholds = export.
 
 
 def export_matrix(rows: DataFrame, level: str, runs: Sequence, top: int = 3, consistent: bool = True, normalise: str = "none") -> DataFrame:
-    """A matrix of ``precursor``, ``peptide``, ``protein`` or ``gene`` by run from rows (run_id, precursor_id, <level>_id, qvalue, intensity)."""
+    """A matrix of ``precursor``, ``peptide``, ``protein`` or ``gene`` by run from rows (feature_id, run_id, precursor_id, qvalue, intensity, from the
+    peptide level on peptide_id, and <level>_id as one id or an array of ids)."""
     best = quant.best_peak_groups(rows, ["run_id", "precursor_id"], "qvalue", ["feature_id"])
     if normalise == "median":
         best = quant.median_normalised(best, "run_id", "intensity")
@@ -103,8 +100,10 @@ def export_matrix(rows: DataFrame, level: str, runs: Sequence, top: int = 3, con
     if level == "precursor":
         return quant.pivoted(best, ["precursor_id"], "run_id", "intensity", runs)
     key = f"{level}_id"
-    chosen = quant.top_items(best, key, "precursor_id", "run_id", "intensity", top, consistent)
-    return quant.pivoted(chosen, [key], "run_id", "intensity", runs)
+    if level == "peptide":
+        chosen = quant.top_items(best, key, "precursor_id", "run_id", "intensity", top, consistent)
+        return quant.pivoted(chosen, [key], "run_id", "intensity", runs)
+    return quant.pivoted(quant.summarised(best, key, "peptide_id", "precursor_id", "run_id", "intensity", top, consistent), [key], "run_id", "intensity", runs)
 
 
 def statistics(tables: dict[str, DataFrame]) -> DataFrame:
@@ -124,12 +123,14 @@ def reduce(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def merge(stores: Sequence[dict[str, DataFrame]], same_run: int | None = None) -> dict[str, DataFrame]:
-    """One store of all rows; library tables, which repeat, are kept once."""
+    """One store of all rows; library tables, which repeat, are kept once. With ``same_run`` all rows that name a run name that one, in every table."""
     library = ("precursor", "precursor_peptide_mapping", "peptide", "peptide_protein_mapping", "protein", "transition")
     out = {}
     for name in dict.fromkeys(n for s in stores for n in s):
         parts = [s[name] for s in stores if name in s]
-        merged = files.merge_runs(parts, same_run if name in ("feature", "run") and "run_id" in parts[0].columns else None)
+        merged = files.merge_runs(parts)
+        if same_run is not None:
+            merged = files.in_one_run(merged, same_run, name)
         out[name] = merged.distinct() if name in library else merged
     return out
 

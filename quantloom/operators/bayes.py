@@ -72,13 +72,16 @@ def precursor_inference(rows: DataFrame, max_pep: float = 0.4) -> DataFrame:
 
 
 def peptidoform_inference(transitions: DataFrame, precursors: DataFrame, grouped_fdr: bool = False, log_space: bool = False, eps: float | None = None) -> DataFrame:
-    """``feature_id, peptide_id, precursor_peakgroup_pep, qvalue, pep`` of every peptidoform hypothesis but the null one."""
+    """``feature_id, peptide_id, precursor_peakgroup_pep, qvalue, pep`` of every peptidoform hypothesis but the null one.
+
+    ``transitions`` may bring their own ``precursor_peakgroup_pep`` (after evidence was shared between runs); else that of ``precursors`` is taken.
+    """
     from quantloom.operators.stats import model_fdr
 
-    met = transitions.join(precursors, "feature_id")
+    met = transitions if "precursor_peakgroup_pep" in transitions.columns else transitions.join(precursors, "feature_id")
     found = posteriors(transition_model(met), log_space=log_space, eps=eps)
-    forms = met.groupBy("feature_id").agg(F.first("num_peptidoforms").alias("num_peptidoforms"), F.first("precursor_peakgroup_pep").alias("precursor_peakgroup_pep"))
-    told = found.join(forms, "feature_id").withColumn("pep", 1 - F.col("posterior"))
+    forms = met.groupBy("feature_id").agg(F.min("num_peptidoforms").alias("num_peptidoforms"))
+    told = found.join(forms, "feature_id").join(precursors.select("feature_id", "precursor_peakgroup_pep"), "feature_id").withColumn("pep", 1 - F.col("posterior"))
     told = told.where("hypothesis <> -1")
     told = model_fdr(told, "pep", ("num_peptidoforms",) if grouped_fdr else (), "qvalue")
     return told.select("feature_id", F.col("hypothesis").alias("peptide_id"), "precursor_peakgroup_pep", "qvalue", "pep")
@@ -139,16 +142,20 @@ def support_filter(
     return metrics.where(keep)
 
 
-def propagated(evidence: DataFrame, threshold: float, columns: Sequence[str] = ()) -> DataFrame:
-    """Transition evidence in which aligned features share confident evidence: the least pep per feature, transition and hypothesis.
+def propagated(evidence: DataFrame, threshold: float, columns: Sequence[str] = (), values: Sequence[str] = ("pep", "precursor_peakgroup_pep")) -> DataFrame:
+    """Transition evidence in which aligned features share confident evidence.
 
-    ``evidence`` has feature_id, alignment_group_id, is_aligned (a flag of its own), transition_id, peptide_id, bmask, num_peptidoforms,
-    pep and ``columns``; features that are not aligned pass unchanged.
+    A feature gets, beside its own rows, the rows of its alignment group with ``pep`` up to ``threshold``, their number of
+    peptidoforms included; rows of one feature that agree in transition, peptidoform, mask, number of peptidoforms and ``columns`` become one with
+    the least of each of ``values``. ``evidence`` has feature_id, alignment_group_id, is_aligned (a flag of its own) and all these;
+    features that are not aligned pass unchanged. Confident rows are reduced to one per group and item before they meet the features.
     """
-    item = ["transition_id", "peptide_id", "bmask", *columns]
+    item = ["transition_id", "peptide_id", "bmask", "num_peptidoforms", *columns]
+    values = [v for v in values if v in evidence.columns]
+    least = [F.min(v).alias(v) for v in values]
     aligned = evidence.where("is_aligned")
-    best = aligned.where(F.col("pep") <= threshold).groupBy("alignment_group_id", *item).agg(F.min("pep").alias("pep"))
-    members = aligned.select("alignment_group_id", "feature_id", "num_peptidoforms").distinct()
-    every = aligned.select("alignment_group_id", "feature_id", "num_peptidoforms", *item, "pep").unionByName(members.join(best, "alignment_group_id"))
-    shared = every.groupBy("alignment_group_id", "feature_id", "num_peptidoforms", *item).agg(F.min("pep").alias("pep"))
+    best = aligned.where(F.col("pep") <= threshold).groupBy("alignment_group_id", *item).agg(*least)
+    members = aligned.select("alignment_group_id", "feature_id").distinct()
+    every = aligned.select("alignment_group_id", "feature_id", *item, *values).unionByName(members.join(best, "alignment_group_id"))
+    shared = every.groupBy("alignment_group_id", "feature_id", *item).agg(*least)
     return evidence.where("NOT is_aligned").select(*shared.columns).unionByName(shared)

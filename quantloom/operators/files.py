@@ -15,6 +15,16 @@ def merge_runs(parts: Sequence[DataFrame], same_run: int | None = None, run: str
     return merged if same_run is None else merged.withColumn(run, F.lit(same_run))
 
 
+def in_one_run(df: DataFrame, run_id: int, table: str) -> DataFrame:
+    """The rows of a merged table in one run: every run it names becomes ``run_id`` (null, the global context, stays), and table ``run`` has that row only."""
+    if table == "run":
+        kinds = dict(df.dtypes)
+        others = [F.min(c).alias(c) for c in df.columns if c.lower() != "id"]
+        return df.groupBy(F.lit(run_id).cast(kinds[next(c for c in df.columns if c.lower() == "id")]).alias("id")).agg(*others) if others else df.limit(1).select(F.lit(run_id).cast("long").alias("id"))
+    name = next((c for c in df.columns if c.lower() == "run_id"), None)
+    return df if name is None else df.withColumn(name, F.when(F.col(name).isNotNull(), F.lit(run_id).cast(dict(df.dtypes)[name])))
+
+
 def run_part(df: DataFrame, run: str, which: DataFrame | int) -> DataFrame:
     """The rows of one run together with those of no run (global scores), as a per-run file holds them."""
     if isinstance(which, int):

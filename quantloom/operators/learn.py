@@ -33,7 +33,9 @@ class LinearModel:
     @staticmethod
     def from_table(weights: DataFrame, level: str, columns: Sequence[str] | None = None, max_columns: int = 10_000) -> LinearModel:
         """The model of a level; refuses a table whose features are not just those asked for."""
-        rows = weights.where(F.col("level") == level).limit(max_columns).collect()
+        rows = weights.where(F.col("level") == level).limit(max_columns + 1).collect()
+        if len(rows) > max_columns:
+            raise ValueError(f"more than {max_columns} weights at level {level}")
         found = {r["score"]: r["weight"] for r in rows}
         if columns is not None and set(columns) != set(found):
             raise ValueError(f"weights are for other columns: {sorted(set(found) ^ set(columns))}")

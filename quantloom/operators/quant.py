@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.scan import running
+from quantloom.operators.scan import quantiles, running
 from quantloom.runtime import written
 
 
@@ -33,9 +33,22 @@ def top_items(rows: DataFrame, parent: str, item: str, run: str, value: str, n:
     return rows.join(chosen, [parent, item], "left_semi").select(*rows.columns)
 
 
+def summarised(rows: DataFrame, parent: str, item: str, part: str, run: str, value: str, n: int, consistent: bool = True) -> DataFrame:
+    """``parent, item, run, value``: items (peptides) of each parent (protein, gene) by run, from their ``n`` strongest parts (precursors).
+
+    First items are the means of their top parts. Then every item goes to all its parents (``parent`` holds one id or an array of them); if
+    ``consistent``, a parent keeps the ``n`` items with the highest median over runs. The mean over a parent's rows of a run is its value.
+    """
+    means = top_items(rows, item, part, run, value, n, consistent).groupBy(item, run).agg(F.avg(value).alias(value))
+    several = dict(rows.dtypes)[parent].startswith("array")
+    owners = rows.where(F.col(parent).isNotNull()).select(item, (F.explode(parent) if several else F.col(parent)).alias(parent)).distinct()
+    of_parent = means.join(owners, item)
+    return top_items(of_parent, parent, item, run, value, n) if consistent else of_parent
+
+
 def median_normalised(rows: DataFrame, run: str, value: str, level_to_median: bool = True) -> DataFrame:
     """Values divided by their run's median, times the median of the runs' medians (``level_to_median``)."""
-    medians = rows.groupBy(run).agg(F.median(value).alias("_m"))
+    medians = quantiles(rows, value, [run], {"_m": 0.5})
     overall = medians.agg(F.median("_m").alias("_mm"))
     met = rows.join(F.broadcast(medians.join(F.broadcast(overall))), run)  # one row a run
     scaled = F.try_divide(F.col(value), F.col("_m"))

@@ -123,5 +123,8 @@ def propagate(evidence: DataFrame, group: str, item: str, pep: str, threshold: f
 
 
 def hash_sample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """All rows of a fixed share of the keys, the same keys in every table."""
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """All rows of a fixed share of the keys, the same keys in every table (and in every engine: the first 32 bits of an MD5 sum decide)."""
+    if share >= 1:
+        return df.where(F.col(key).isNotNull())
+    limit = f"{int(share * 2**32):08x}"
+    return df.where(F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8) < limit)

@@ -15,10 +15,15 @@ def id_counts(rows: DataFrame, run: str, ident: str, qvalue: str, thresholds: Se
 
 
 def run_summary(rows: DataFrame, run: str, ident: str, value: str) -> DataFrame:
-    return rows.groupBy(run).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(ident).alias("n_ids"), F.avg(value).alias("mean"), F.median(value).alias("median"),
+    """Rows, distinct identifications, and mean, exact median, deviation and range of the values, per run."""
+    from quantloom.operators.scan import quantiles
+
+    plain = rows.groupBy(run).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(ident).alias("n_ids"), F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
     )
+    middle = quantiles(rows, value, [run], {"median": 0.5}).withColumnRenamed(run, "_run")  # a row a run
+    return plain.join(F.broadcast(middle), F.col(run).eqNullSafe(F.col("_run")), "left").select(run, "n", "n_ids", "mean", "median", "std", "min", "max")
 
 
 def variation(rows: DataFrame, ident: str, run: str, value: str, min_runs: int = 2) -> DataFrame:

@@ -27,7 +27,7 @@ def running(
     columns: Mapping[str, tuple[str, str]],
     keys: Sequence[str] = (),
     descending: bool = False,
-    one_task_bytes: int = ONE_TASK_BYTES,
+    one_task_bytes: int | None = None,
 ) -> DataFrame:
     """``rows`` with running aggregates ``name: (sum|min|max, column)`` from the first row in order to this one.
 
@@ -37,7 +37,7 @@ def running(
     """
     by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
     so_far = lambda *p: Window.partitionBy(*p).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if plan_bytes(rows) <= one_task_bytes:
+    if plan_bytes(rows) <= (ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes):
         return rows.select("*", *[_COMBINE[kind](c).over(so_far(*keys)).alias(name) for name, (kind, c) in columns.items()])
     parted = written(rows.repartitionByRange(*[F.col(k) for k in keys], by).withColumn("_part", F.spark_partition_id()))
     totals = parted.groupBy(*keys, "_part").agg(*[_COMBINE[kind](c).alias(f"__before_{name}") for name, (kind, c) in columns.items()])
@@ -54,3 +54,25 @@ def running(
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     met = parted.join(offsets, same)
     return met.select(*rows.columns, *[joined(name, kind, c) for name, (kind, c) in columns.items()])
+
+
+def quantiles(rows: DataFrame, value: str, keys: Sequence[str], points: Mapping[str, float]) -> DataFrame:
+    """``keys`` and a column for each of ``points`` (name: share): the exact quantile of the values, between two ranks on a straight line.
+
+    Values are counted, the counts summed in order, and the ranks looked up, so no key's values are gathered; nulls and NaN don't count.
+    """
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_all"))  # a row a key
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = running(counts, "_v", {"_to": ("sum", "_n")}, keys).join(totals, same)
+
+    def at(share: float) -> Column:
+        place = (F.col("_all") - 1) * share
+        reached = lambda k: F.min(F.when(F.col("_to") > k, F.col("_v")))
+        low = reached(F.floor(place))
+        return low + (reached(F.ceil(place)) - low) * F.first(place - F.floor(place))
+
+    return met.groupBy(*keys).agg(*[at(share).alias(name) for name, share in points.items()])

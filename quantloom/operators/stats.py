@@ -123,15 +123,19 @@ def level_metrics(levels: DataFrame, null_share: DataFrame, keys: Sequence[str]
 METRICS = ("pvalue", "qvalue", "svalue", "tp", "fp", "tn", "fn", "fpr", "fdr", "fnr")
 
 
-def error_table(rows: DataFrame, score: str, decoy: str, keys: Sequence[str] = (), lambdas: Sequence[float] | float = LAMBDAS, method: str = "bootstrap", pfdr: bool = False, local_fdr: bool = False) -> DataFrame:
+def error_table(rows: DataFrame, score: str, decoy: str, keys: Sequence[str] = (), lambdas: Sequence[float] | float = LAMBDAS, method: str = "bootstrap", pfdr: bool = False, local_fdr: bool = False, parametric: bool = False) -> DataFrame:
     """``keys, cutoff, n_targets`` and all metrics (with ``local_fdr`` also ``pep``): one row per distinct target score.
 
     Without decoys there are no p-values and the metrics are null; without targets there is no row. Nulls and
-    NaN don't count. Each key has a model of its own.
+    NaN don't count. Each key has a model of its own. ``parametric`` takes p-values from a normal distribution fitted to the decoys
+    instead of their ranks.
     """
     # Written once: the distinct values are read by several scans, whose plans then know their true size.
     ranked = decoy_ranks(written(score_values(rows, score, decoy, keys)), keys)
-    levels = p_levels(ranked, keys)
+    if parametric:
+        ranked, levels = parametric_levels(ranked, keys)
+    else:
+        levels = p_levels(ranked, keys)
     null_share = pi0(levels, keys, lambdas, method)
     told = level_metrics(levels, null_share, keys, pfdr)
     names = list(METRICS)
@@ -142,6 +146,16 @@ def error_table(rows: DataFrame, score: str, decoy: str, keys: Sequence[str] = (
     return scores.join(told.select(*keys, "above", *names), [*keys, "above"]).select(*keys, "cutoff", "n_targets", *names)
 
 
+def parametric_levels(ranked: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``ranked`` with a place in the order of scores for ``above``, and the level of each target score: its upper tail of the decoys' normal distribution."""
+    n, total, squares = F.sum("d"), F.sum(F.col("d") * F.col("score")), F.sum(F.col("d") * F.col("score") * F.col("score"))
+    fit = ranked.groupBy(*keys).agg(F.try_divide(total, n).alias("_mu"), F.sqrt(F.greatest(F.try_divide(squares - F.try_divide(total * total, n), n - 1), F.lit(0.0))).alias("_sd"))
+    met = ranked.drop("above").join(fit, list(keys)) if keys else ranked.drop("above").join(F.broadcast(fit))
+    placed = running(met.withColumn("_one", F.lit(1)), "score", {"above": ("sum", "_one")}, keys, descending=True).drop("_one")
+    levels = placed.where("t > 0").select(*keys, "above", F.col("t").alias("n"), F.col("t_up").alias("n_pos"), "m", "m0", normal.upper_tail(F.try_divide(F.col("score") - F.col("_mu"), F.col("_sd"))).alias("pvalue"))
+    return placed.drop("_mu", "_sd"), written(levels)
+
+
 def normal_pvalues(rows: DataFrame, score: str, decoy: str) -> DataFrame:
     """Distinct target scores with the upper tail of a normal distribution fitted to the decoys."""
     fit = rows.where(F.col(decoy) == 1).agg(F.avg(score).alias("mu"), F.stddev_samp(score).alias("sd"))
@@ -149,8 +163,9 @@ def normal_pvalues(rows: DataFrame, score: str, decoy: str) -> DataFrame:
     return values.join(F.broadcast(fit)).select("cutoff", "n_targets", normal.upper_tail(F.try_divide(F.col("cutoff") - F.col("mu"), F.col("sd"))).alias("pvalue"))
 
 
-#: The finest grid of the density estimate; more points don't change it visibly.
-MAX_GRID = 1 << 16
+#: The finest grid of the density estimate: as many points as the next power of two above the targets, up to this. Beyond a million
+#: targets the bandwidth spans hundreds of points, and a finer grid changes no PEP by more than 1e-6.
+MAX_GRID = 1 << 20
 
 
 def _spline(x, y):
@@ -203,7 +218,14 @@ def with_local_fdr(levels: DataFrame, keys: Sequence[str] = (), transform: str =
     p = F.least(F.greatest("pvalue", F.lit(eps)), F.lit(1 - eps))
     x = normal.quantile(p) if transform == "probit" else F.log((F.col("pvalue") + eps) / (1 - F.col("pvalue") + eps))
     placed = levels.withColumn("_x", x)
-    quarter = lambda q: F.percentile("_x", F.lit(q), F.col("n"))
+
+    def quarter(q: float) -> Column:
+        """The quantile over all targets: levels are in order and know how many targets come up to them, so no group is gathered."""
+        place = (F.col("m") - 1) * q
+        reached = lambda k: F.min(F.when(F.col("n_pos") > k, F.col("_x")))
+        low, high, part = reached(F.floor(place)), reached(F.ceil(place)), F.first(place - F.floor(place))
+        return low + (high - low) * part
+
     count, mean_sq, mean = F.sum("n"), F.sum(F.col("_x") * F.col("_x") * F.col("n")), F.sum(F.col("_x") * F.col("n"))
     shape = placed.groupBy(*keys).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), count.alias("_n"), mean_sq.alias("_ss"), mean.alias("_s"), (quarter(0.75) - quarter(0.25)).alias("_iqr"), F.first("_x").alias("_any"))
     sd = F.sqrt(F.greatest(F.try_divide(F.col("_ss") - F.try_divide(F.col("_s") * F.col("_s"), F.col("_n")), F.col("_n") - 1), F.lit(0.0)))
@@ -246,22 +268,27 @@ def with_local_fdr(levels: DataFrame, keys: Sequence[str] = (), transform: str =
     return running(met, "above", {"pep": ("max", "_pep")}, keys).drop("_pep")
 
 
-def nearest(values: DataFrame, value: str, basis: DataFrame, at: str) -> DataFrame:
-    """``values`` joined to the nearest row of ``basis`` (half-way: the upper one); both sides ordered by one scan.
+def nearest(values: DataFrame, value: str, basis: DataFrame, at: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``values`` joined to the nearest row of ``basis`` (half-way: the upper one), within each key; both sides ordered by one scan.
 
-    Equal basis values must hold equal rows, of which one is met. Values are compared as floats of 32 bits.
+    Values are compared as floats of 32 bits; of several basis rows that are equal then, the least is met. Rows with a null value, or
+    whose key has no basis row, get nulls.
     """
-    columns = [c for c in basis.columns if c != at]
+    columns = [c for c in basis.columns if c not in (at, *keys)]
     basis = written(basis)  # distinct values, read twice
-    one = basis.where(F.col(at).isNotNull()).groupBy(F.col(at).cast("float").alias("_v")).agg(F.first(F.struct(F.col(at), *columns)).alias("_row"))
-    wanted = values.where(F.col(value).isNotNull()).select(F.col(value).cast("float").alias("_v")).distinct()
-    both = one.select("_v", F.lit(1).alias("_is")).unionByName(wanted.select("_v", F.lit(0).alias("_is"))).groupBy("_v").agg(F.max("_is").alias("_is"))
+    one = basis.where(F.col(at).isNotNull()).groupBy(*keys, F.col(at).cast("float").alias("_v")).agg(F.min(F.struct(F.col(at), *columns)).alias("_row"))
+    wanted = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("float").alias("_v")).distinct()
+    both = one.select(*keys, "_v", F.lit(1).alias("_is")).unionByName(wanted.select(*keys, "_v", F.lit(0).alias("_is"))).groupBy(*keys, "_v").agg(F.max("_is").alias("_is"))
     marked = both.withColumn("_b", F.when(F.col("_is") == 1, F.col("_v")))
-    near = running(running(marked, "_v", {"_lo": ("max", "_b")}), "_v", {"_hi": ("min", "_b")}, descending=True)
+    near = running(running(marked, "_v", {"_lo": ("max", "_b")}, keys), "_v", {"_hi": ("min", "_b")}, keys, descending=True)
     lower_is_nearer = (F.col("_v") - F.col("_lo")) < (F.col("_hi") - F.col("_v"))
     pick = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull(), F.col("_lo")).when(lower_is_nearer, F.col("_lo")).otherwise(F.col("_hi"))
-    found = near.select(F.col("_v").alias("_want"), pick.alias("_v")).join(one, "_v").select("_want", "_row.*")
-    return values.join(found, F.col(value).cast("float") == F.col("_want"), "left").drop("_want")
+    found = near.select(*keys, F.col("_v").alias("_want"), pick.alias("_v")).join(one, [*keys, "_v"])
+    found = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_want", "_row.*")
+    same = F.col(value).cast("float") == F.col("_want")
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    return values.join(found, same, "left").drop("_want", *[f"_k{i}" for i in range(len(keys))])
 
 
 def final_error_table(table: DataFrame, points: int = 51) -> DataFrame:

@@ -148,16 +148,15 @@ def evidence_peptidoform_space(spark: SparkSession, sf: str) -> DataFrame:
 @QUERIES.add(
     "propagated_peptidoforms",
     f"""WITH e AS (SELECT l_suppkey AS alignment_group_id, l_orderkey AS feature_id, l_orderkey % 5 <> 0 AS is_aligned, l_linenumber AS transition_id, (entity % 3)::int AS peptide_id, 1 AS bmask,
- (l_orderkey % 3 + 1)::int AS num_peptidoforms, pep FROM ({OBSERVATIONS_SQL})),
-m AS (SELECT DISTINCT alignment_group_id, feature_id, num_peptidoforms FROM e WHERE is_aligned)
-SELECT alignment_group_id, feature_id, num_peptidoforms, transition_id, peptide_id, bmask, round(pep, 9) AS pep FROM e WHERE NOT is_aligned
-UNION ALL SELECT alignment_group_id, feature_id, num_peptidoforms, transition_id, peptide_id, bmask, round(min(pep), 9) FROM (SELECT alignment_group_id, feature_id, num_peptidoforms, transition_id, peptide_id, bmask, pep FROM e WHERE is_aligned
- UNION ALL SELECT m.alignment_group_id, m.feature_id, m.num_peptidoforms, b.transition_id, b.peptide_id, b.bmask, b.pep FROM m JOIN
- (SELECT alignment_group_id, transition_id, peptide_id, bmask, min(pep) AS pep FROM e WHERE is_aligned AND pep <= 0.1 GROUP BY ALL) b USING (alignment_group_id)) GROUP BY ALL""",
+ (l_orderkey % 3 + 1)::int AS num_peptidoforms, pep, pep1 AS precursor_peakgroup_pep FROM ({OBSERVATIONS_SQL})),
+f AS (SELECT DISTINCT alignment_group_id, feature_id FROM e WHERE is_aligned)
+SELECT alignment_group_id, feature_id, num_peptidoforms, transition_id, peptide_id, bmask, round(pep, 9) AS pep, round(precursor_peakgroup_pep, 9) AS precursor_peakgroup_pep FROM e WHERE NOT is_aligned
+UNION ALL SELECT f.alignment_group_id, f.feature_id, o.num_peptidoforms, o.transition_id, o.peptide_id, o.bmask, round(min(o.pep), 9), round(min(o.precursor_peakgroup_pep), 9)
+FROM f JOIN e o ON o.alignment_group_id = f.alignment_group_id AND o.is_aligned AND (o.feature_id = f.feature_id OR o.pep <= 0.1) GROUP BY ALL""",
 )
 def propagated_peptidoforms(spark: SparkSession, sf: str) -> DataFrame:
     rows = observations(spark, sf).select(
         F.col("l_suppkey").alias("alignment_group_id"), F.col("l_orderkey").alias("feature_id"), (F.col("l_orderkey") % 5 != 0).alias("is_aligned"), F.col("l_linenumber").alias("transition_id"),
-        (F.col("entity") % 3).cast("int").alias("peptide_id"), F.lit(1).alias("bmask"), (F.col("l_orderkey") % 3 + 1).cast("int").alias("num_peptidoforms"), "pep",
+        (F.col("entity") % 3).cast("int").alias("peptide_id"), F.lit(1).alias("bmask"), (F.col("l_orderkey") % 3 + 1).cast("int").alias("num_peptidoforms"), "pep", F.col("pep1").alias("precursor_peakgroup_pep"),
     )
     return rounded(bayes.propagated(rows, 0.1))

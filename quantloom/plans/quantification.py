@@ -51,9 +51,25 @@ def peptide_matrix_per_run(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(quant.pivoted(rows, ["peptide"], "run", "intensity", RUNS))
 
 
-@QUERIES.add("protein_matrix", f"SELECT protein, {_PIVOT} FROM ({_PARTS}) GROUP BY protein")
+def _summary_sql(parent: str, owners: str) -> str:
+    """Means of the top precursors of a peptide, then of the top peptides of a parent, by run."""
+    return f"""WITH pep AS (SELECT peptide, run, avg(intensity) AS intensity FROM ({_TOP3}) GROUP BY 1, 2), own AS (SELECT DISTINCT peptide, {parent} FROM ({owners})), x AS (SELECT * FROM pep JOIN own USING (peptide)),
+t AS (SELECT {parent}, peptide FROM (SELECT {parent}, peptide, median(intensity) AS m FROM x GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY {parent} ORDER BY m DESC, peptide) <= 3)
+SELECT {parent}, {_PIVOT} FROM x JOIN t USING ({parent}, peptide) GROUP BY {parent}"""
+
+
+@QUERIES.add("protein_matrix", _summary_sql("protein", _PARTS))
 def protein_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(quant.pivoted(_with_parts(spark, sf), ["protein"], "run", "intensity", RUNS))
+    rows = quant.summarised(_with_parts(spark, sf), "protein", "peptide", "entity", "run", "intensity", 3)
+    return rounded(quant.pivoted(rows, ["protein"], "run", "intensity", RUNS))
+
+
+@QUERIES.add("gene_matrix", _summary_sql("gene", f"SELECT peptide, unnest([p_size % 5, p_size % 7 + 10]) AS gene FROM ({_PARTS}) JOIN part ON p_partkey = entity"))
+def gene_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Two genes per part, as an array."""
+    genes = table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.array(F.col("p_size") % 5, F.col("p_size") % 7 + 10).alias("gene"))
+    rows = quant.summarised(_with_parts(spark, sf).join(genes, "entity"), "gene", "peptide", "entity", "run", "intensity", 3)
+    return rounded(quant.pivoted(rows, ["gene"], "run", "intensity", RUNS))
 
 
 @QUERIES.add(

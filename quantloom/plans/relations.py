@@ -214,8 +214,9 @@ def propagate_confident_evidence(spark: SparkSession, sf: str) -> DataFrame:
 @QUERIES.add("transition_string_agg", "SELECT feature_id, string_agg(transition_id::varchar, ';' ORDER BY transition_id) AS ids, string_agg(area::varchar, ';' ORDER BY transition_id) AS areas FROM (SELECT feature_id, transition_id, max(area_intensity)::bigint AS area FROM feature_transition WHERE transition_id IS NOT NULL AND area_intensity IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def transition_string_agg(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "feature_transition").where("transition_id IS NOT NULL AND area_intensity IS NOT NULL").groupBy("feature_id", "transition_id").agg(F.round(F.max("area_intensity")).cast("long").alias("area"))
-    rows.createOrReplaceTempView("_fragments")
-    return spark.sql("SELECT feature_id, listagg(cast(transition_id AS string), ';') WITHIN GROUP (ORDER BY transition_id) AS ids, listagg(cast(area AS string), ';') WITHIN GROUP (ORDER BY transition_id) AS areas FROM _fragments GROUP BY feature_id")
+    ordered = rows.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("transition_id", "area"))).alias("_f"))  # a feature has the fragments of its assay
+    text = lambda c: F.array_join(F.transform("_f", lambda x: x[c].cast("string")), ";")
+    return ordered.select("feature_id", text("transition_id").alias("ids"), text("area").alias("areas"))
 
 
 @QUERIES.add(
@@ -291,7 +292,11 @@ def cascade_filter(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@QUERIES.add("cascade_subsample")
+@QUERIES.add(
+    "cascade_subsample",
+    """WITH f AS (SELECT DISTINCT id, run_id, precursor_id FROM feature WHERE precursor_id IS NOT NULL AND substr(md5(concat_ws('-', precursor_id, 42)), 1, 8) < '19999999')
+SELECT DISTINCT t.feature_id, t.transition_id, f.run_id, f.precursor_id FROM feature_transition t JOIN f ON f.id = t.feature_id""",
+)
 def cascade_subsample(spark: SparkSession, sf: str) -> DataFrame:
     """A tenth of the precursors by hash, with all their features and fragments; sampling is the feature here."""
     features, fragments = _tables(spark, sf, "feature", "feature_transition")
@@ -315,6 +320,15 @@ def merge_same_run(spark: SparkSession, sf: str) -> DataFrame:
     return merge_runs([items.where("run_id = 'O'"), items.where("run_id = 'F'")], same_run=1)
 
 
+@QUERIES.add("merge_into_one_run", "SELECT row_id, context, CASE WHEN run_id IS NOT NULL THEN 7 END AS run_id FROM score_peptide UNION ALL SELECT row_id, context, CASE WHEN run_id IS NOT NULL THEN 7 END FROM score_protein")
+def merge_into_one_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Score rows follow their run; rows of the global context have none."""
+    from quantloom.operators.files import in_one_run, merge_runs
+
+    parts = [t.select("row_id", "context", "run_id") for t in _tables(spark, sf, "score_peptide", "score_protein")]
+    return in_one_run(merge_runs(parts), 7, "score")
+
+
 @QUERIES.add("split_null_semantics", "SELECT row_id, context, run_id FROM score_peptide WHERE run_id = (SELECT min(run_id) FROM score_peptide) OR run_id IS NULL")
 def split_null_semantics(spark: SparkSession, sf: str) -> DataFrame:
     from quantloom.operators.files import run_part

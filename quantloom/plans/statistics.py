@@ -80,10 +80,21 @@ def pi0_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.pi0(stats.p_levels(ranked)))
 
 
-@QUERIES.add("pi0_smoother")
+def _smoother_sql() -> str:
+    """The value at the last lambda of the least-squares polynomial of degree 3: its normal equations give fixed weights of the estimates."""
+    import numpy as np
+
+    x = np.vander(np.asarray(stats.LAMBDAS), 4)
+    weights = x[-1] @ np.linalg.solve(x.T @ x, x.T)
+    cases = " ".join(f"WHEN l = {at} THEN {w!r}" for at, w in zip(stats.LAMBDAS, weights.tolist()))
+    return f"""SELECT round(least(sum(e * CASE {cases} END), 1.0), 6) AS pi0 FROM (SELECT l, sum(CASE WHEN pvalue >= l THEN n ELSE 0 END)::double / sum(n) / (1 - l) AS e
+ FROM lv, (SELECT unnest({list(stats.LAMBDAS)}::double[]) AS l) GROUP BY l)"""
+
+
+@QUERIES.add("pi0_smoother", f"WITH {table_sql(('entity',))} {_smoother_sql()}")
 def pi0_smoother(spark: SparkSession, sf: str) -> DataFrame:
     ranked = stats.decoy_ranks(stats.score_values(top(spark, sf, ("entity",)), "score", "decoy"))
-    return rounded(stats.pi0(stats.p_levels(ranked), method="smoother"))
+    return rounded(stats.pi0(stats.p_levels(ranked), method="smoother"), 6)
 
 
 @QUERIES.add("normal_pvalue")
@@ -121,6 +132,20 @@ def nearest_error_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.nearest(observations(spark, sf).select("obs", "score"), "score", basis, "cutoff").drop("cutoff"))
 
 
+@QUERIES.add(
+    "context_statistics_run_specific",
+    f"""WITH {table_sql(("entity", "run"), ("run",))}, f AS (SELECT run, cutoff::float AS c, arg_min(struct_pack(p := pvalue, s := svalue, q := qvalue), cutoff) AS v FROM tab GROUP BY 1, 2),
+n AS (SELECT x.*, lo.c AS lc, lo.v AS lv, hi.c AS hc, hi.v AS hv FROM (SELECT *, score::float AS s FROM top) x ASOF LEFT JOIN f lo ON x.run = lo.run AND x.s >= lo.c ASOF LEFT JOIN f hi ON x.run = hi.run AND x.s <= hi.c),
+w AS (SELECT *, CASE WHEN lc IS NULL THEN hv WHEN hc IS NULL THEN lv WHEN s - lc < hc - s THEN lv ELSE hv END AS v FROM n)
+SELECT 'run-specific' AS context, run AS run_id, entity, decoy, round(score, 9) AS score, round(v.p, 9) AS pvalue, round(v.s, 9) AS svalue, round(v.q, 9) AS qvalue FROM w""",
+)
+def context_statistics_run_specific(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets and decoys alike look up the table of their own run."""
+    from quantloom import api
+
+    return rounded(api.infer_entities(observations(spark, sf), "entity", "run-specific", run="run", ties=TIES, lambdas=LAMBDA, local_fdr=False))
+
+
 @QUERIES.add(
     "find_cutoff",
     f"WITH {table_sql(('entity',))} SELECT round(arg_min(cutoff, struct_pack(a := round(abs(qvalue - 0.05), 9), b := cutoff)), 9) AS cutoff FROM tab",

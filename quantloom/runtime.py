@@ -7,6 +7,7 @@ names none (tests, notebooks).
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -44,11 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return named or current.get()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="quantloom-")
     sc.setCheckpointDir(folder)
     return folder
 
 
+_cleaned: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder within the shared one; it is removed when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/quantloom-{spark.sparkContext.applicationId}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone already, and with it the way to delete
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there; survives the loss of executors."""
     shared_dir(df.sparkSession)
@@ -58,7 +81,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """As ``cut``, but columnar: for wide results of which later steps read some columns only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import sqlite3
 import zlib
 from collections.abc import Callable, Iterator, Mapping
@@ -10,6 +9,8 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.sources import paths
+
 #: Names of the files of a split store.
 PRECURSORS, TRANSITIONS, ALIGNMENT = "precursors_features.parquet", "transition_features.parquet", "feature_alignment.parquet"
 _SQLITE_MAGIC = b"SQLite format 3\x00"
@@ -22,17 +23,16 @@ def sqlite_tables(path: str) -> list[str]:
 
 def file_type(path: str) -> str:
     """One of osw, sqmass, parquet, parquet_split, parquet_split_multi, tsv; judged by content where names leave doubt."""
-    if os.path.isdir(path):
-        inside = os.listdir(path)
+    if paths.is_dir(path):
+        inside = paths.names(path)
         if PRECURSORS in inside and TRANSITIONS in inside:
             return "parquet_split"
-        if any(os.path.isdir(f"{path}/{d}") and PRECURSORS in os.listdir(f"{path}/{d}") for d in inside):
+        if any(paths.is_dir(f"{path}/{d}") and PRECURSORS in paths.names(f"{path}/{d}") for d in inside):
             return "parquet_split_multi"
         if any(f.endswith(".parquet") for f in inside):
             return "parquet"
         raise ValueError(f"no known store in {path}")
-    with open(path, "rb") as f:
-        head = f.read(16)
+    head = paths.head(path)
     if head == _SQLITE_MAGIC:
         names = {t.upper() for t in sqlite_tables(path)}
         return "sqmass" if "CHROMATOGRAM" in names and "FEATURE" not in names else "osw"
@@ -51,32 +51,50 @@ def _kind(declared: str) -> str:
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str, rows_per_task: int = 1_000_000) -> DataFrame:
-    """A table of a SQLite file that all executors can read: tasks read ranges of row ids, columns in lower case and in their declared types."""
+    """A table or view of a SQLite file that all executors can read, columns in lower case and in their declared types.
+
+    Tasks read ranges of row ids; what has none (views, tables WITHOUT ROWID) is read by one task, batch by batch. A value that is not of
+    its column's type becomes null.
+    """
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         columns = [(r[1], _kind(r[2] or "")) for r in db.execute(f'PRAGMA table_info("{table}")')]
         if not columns:
             raise ValueError(f"{path} has no table {table}")
-        low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+        is_table = db.execute("SELECT count(*) FROM sqlite_master WHERE type = 'table' AND lower(name) = lower(?)", (table,)).fetchone()[0]
+        try:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone() if is_table else (None, None)
+            ranged = bool(is_table)
+        except sqlite3.OperationalError:  # no row ids
+            low, high, ranged = None, None, False
     schema = ", ".join(f"`{c.lower()}` {k}" for c, k in columns)
-    if low is None:
+    if ranged and low is None:
         return spark.createDataFrame([], schema)
     names = ", ".join(f'"{c}"' for c, _ in columns)
     casts: dict[str, Callable] = {"long": int, "double": float, "string": str, "binary": bytes}
 
+    def cast(kind: str, value):
+        try:
+            return None if value is None else casts[kind](value)
+        except (TypeError, ValueError):
+            return None
+
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                start = low + part * rows_per_task
                 with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as source:
-                    found = source.execute(f'SELECT {names} FROM "{table}" WHERE rowid >= ? AND rowid < ?', (start, start + rows_per_task))
+                    if ranged:
+                        start = low + part * rows_per_task
+                        found = source.execute(f'SELECT {names} FROM "{table}" WHERE rowid >= ? AND rowid < ?', (start, start + rows_per_task))
+                    else:
+                        found = source.execute(f'SELECT {names} FROM "{table}"')
                     while chunk := found.fetchmany(50_000):
-                        arrays = [pa.array([None if v is None else casts[k](v) for v in column], types[k]) for column, (_, k) in zip(zip(*chunk), columns)]
+                        arrays = [pa.array([cast(k, v) for v in column], types[k]) for column, (_, k) in zip(zip(*chunk), columns)]
                         yield pa.RecordBatch.from_arrays(arrays, names=[c.lower() for c, _ in columns])
 
-    parts = (high - low) // rows_per_task + 1
+    parts = (high - low) // rows_per_task + 1 if ranged else 1
     return spark.range(0, parts, 1, numPartitions=parts).mapInArrow(read, schema)
 
 
@@ -91,7 +109,7 @@ def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         return {"features": read_parquet(spark, path)}
     base = path if kind == "parquet_split" else f"{path}/*"
     found = {"precursors": read_parquet(spark, f"{base}/{PRECURSORS}"), "transitions": read_parquet(spark, f"{base}/{TRANSITIONS}")}
-    if os.path.exists(f"{path}/{ALIGNMENT}"):
+    if paths.exists(f"{path}/{ALIGNMENT}"):
         found["alignment"] = read_parquet(spark, f"{path}/{ALIGNMENT}")
     return found
 

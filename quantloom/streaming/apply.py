@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quantloom.operators.learn import LinearModel
-from quantloom.runtime import shared_dir
+from quantloom.runtime import own_dir
 
 
 def score_stream(files: DataFrame, model: LinearModel, keys: Sequence[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def start(spark: SparkSession, folder: str, model: LinearModel, keys: Sequence[s
 
 def score_files(spark: SparkSession, folder: str, model: LinearModel, keys: Sequence[str]) -> DataFrame:
     """Score all present files as a stream and read the result."""
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     start(spark, folder, model, keys, f"{base}/out", f"{base}/state", once=True).awaitTermination()
     return spark.read.parquet(f"{base}/out")
 

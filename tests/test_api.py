@@ -67,3 +67,28 @@ def test_commands(spark, tmp_path):
     cmd("export", SMALL, at("long.tsv"), "--qvalue", "1.1", "--peptide-qvalue", "1.1")
     assert "aggr_fragment_annotation" in spark.read.option("sep", "\t").option("header", True).csv(at("long.tsv")).columns
     cmd("statistics", SMALL)
+
+
+def test_decoys_look_up_their_own_run(scored):
+    got = api.infer_entities(scored, "peptide_id", "run-specific", local_fdr=False).collect()
+    decoys = [r for r in got if r.decoy == 1]
+    assert decoys and all(r.pvalue is not None and r.qvalue is not None and r.svalue is not None for r in decoys)
+
+
+def test_merged_into_one_run(rows):
+    store = lambda run: {
+        "run": rows("id long, filename string", [(run, f"f{run}")]), "feature": rows("id long, run_id long", [(run * 10, run)]),
+        "score_peptide": rows("run_id long, context string", [(run, "run-specific"), (None, "global")]), "precursor": rows("id long", [(5,)]),
+    }
+    out = api.merge([store(1), store(2)], same_run=9)
+    assert [r.id for r in out["run"].collect()] == [9] and {r.run_id for r in out["feature"].collect()} == {9}
+    assert sorted(str(r.run_id) for r in out["score_peptide"].collect()) == ["9", "9", "None", "None"] and out["precursor"].count() == 1
+
+
+def test_protein_matrix_goes_through_peptides(rows):
+    data = [(i, run, precursor, peptide, proteins, 0.01, v) for i, (run, precursor, peptide, proteins, v) in enumerate([
+        (1, 10, "a", ["P", "Q"], 4.0), (1, 11, "a", ["P", "Q"], 2.0), (1, 12, "b", ["P"], 30.0), (2, 12, "b", ["P"], 50.0),
+    ])]
+    df = rows("feature_id int, run_id int, precursor_id int, peptide_id string, protein_id array<string>, qvalue double, intensity double", data)
+    got = {r.protein_id: (r["1"], r["2"]) for r in api.export_matrix(df, "protein", [1, 2], top=2).collect()}
+    assert got == {"P": ((3.0 + 30.0) / 2, 50.0), "Q": (3.0, None)}

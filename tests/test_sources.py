@@ -79,3 +79,18 @@ def test_scores_written_back(spark, rows, tmp_path):
 def test_trafo_xml(spark, tmp_path):
     (tmp_path / "a.trafoXML").write_text('<T><Pairs count="2"><Pair from="1.5" to="2.5"/><Pair from="3" to="4"/></Pairs></T>')
     assert sorted((r["from"], r.to) for r in readers.read_trafo_xml(spark, str(tmp_path / "a.trafoXML")).collect()) == [(1.5, 2.5), (3.0, 4.0)]
+
+
+def test_views_and_tables_without_row_ids(spark, tmp_path):
+    path = str(tmp_path / "v.osw")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE A (ID INTEGER, X REAL)")
+        db.executemany("INSERT INTO A VALUES (?, ?)", [(i, i / 2) for i in range(9)])
+        db.execute("CREATE VIEW V AS SELECT ID, X FROM A WHERE ID > 3")
+        db.execute("CREATE VIEW NONE AS SELECT ID FROM A WHERE ID > 100")
+        db.execute("CREATE TABLE W (K TEXT PRIMARY KEY, N INTEGER) WITHOUT ROWID")
+        db.executemany("INSERT INTO W VALUES (?, ?)", [("a", 1), ("b", "odd")])
+    assert sorted(r.id for r in readers.read_sqlite(spark, path, "V").collect()) == [4, 5, 6, 7, 8]
+    assert readers.read_sqlite(spark, path, "NONE").count() == 0
+    assert sorted((r.k, r.n) for r in readers.read_sqlite(spark, path, "W").collect()) == [("a", 1), ("b", None)]
+    assert readers.read_store(spark, path)["v"].count() == 5

@@ -181,3 +181,50 @@ def test_top_and_d_scores(rows):
     assert sorted((r.g, r.i) for r in stats.best_per_group(df, ["g"], "score", ["i"]).collect()) == [(1, 1), (3, 1), (4, 1)]
     d = {r.g: r.d_score for r in stats.d_scores(df.where("g > 2"), "score", "decoy").collect()}
     assert abs(d[3] + d[4]) < 1e-12
+
+
+def test_hypotheses_of_tiny_certain_and_missing_peps(rows):
+    data = [("many", i, 1e-8) for i in range(100)] + [("least", 0, 5e-324), ("least", 1, 0.5), ("one", 0, 0.0), ("one", 1, 0.3), ("two", 0, 0.0), ("two", 1, 0.0), ("sure", 0, 1.0), ("gap", 0, None), ("gap", 1, 0.5)]
+    got = {(r.g, r.i): (r.h_score, r.h0_score) for r in stats.chromatogram_hypotheses(rows("g string, i int, pep double", data), ["g"], "pep").collect()}
+    assert all(abs(got["many", i][0] - 0.01) < 1e-6 and got["many", i][1] < 1e-8 for i in range(100))
+    assert abs(got["least", 0][0] - 1) < 1e-9 and got["one", 0] == (1.0, 0.0) and got["one", 1] == (0.0, 0.0)
+    assert got["two", 0] == (None, None) and got["sure", 0] == (0.0, 1.0) and got["gap", 0] == (None, None) and got["gap", 1][0] > 0.4
+
+
+def test_normal_tail_and_quantile_to_the_last_digits(spark):
+    import math
+    from statistics import NormalDist
+
+    import numpy as np
+
+    from quantloom.functions import normal
+
+    z = np.linspace(-12, 12, 4001)
+    want = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
+    assert (np.abs(normal.tail(z) - want) <= 1e-12 * want).all() and np.isnan(normal.tail([np.nan]))[0] and list(normal.tail([np.inf, -np.inf])) == [0, 1]
+    p = np.concatenate([np.linspace(1e-6, 1 - 1e-6, 2001), [1e-300, 1e-16, 0.5]])
+    assert np.abs(normal.inverse(p) - [NormalDist().inv_cdf(x) for x in p]).max() < 1e-9 and np.isnan(normal.inverse([0.0, 1.0, -1.0, np.nan])).all()
+
+
+def test_quantiles_are_exact_in_one_task_and_in_many(rows, monkeypatch):
+    import numpy as np
+
+    from quantloom.operators import scan
+
+    rng = random.Random(8)
+    data = [(k, rng.choice([rng.random(), 0.5, None, float("nan")])) for k in ("a", "b", None) for _ in range(150)]
+    df = rows("k string, v double", data)
+    for size in (1 << 27, 0):
+        monkeypatch.setattr(scan, "ONE_TASK_BYTES", size)
+        for r in scan.quantiles(df, "v", ["k"], {"q1": 0.25, "q2": 0.5, "top": 1.0}).collect():
+            own = [v for k, v in data if k == r.k and v is not None and v == v]
+            assert np.allclose([r.q1, r.q2, r.top], np.quantile(own, [0.25, 0.5, 1.0]))
+
+
+def test_parametric_error_table(rows):
+    rng = random.Random(4)
+    data = [(rng.gauss(3, 1), 0) for _ in range(60)] + [(rng.gauss(0, 1), i % 2) for i in range(120)]
+    got = stats.error_table(rows("score double, decoy int", data), "score", "decoy", parametric=True).orderBy("cutoff").collect()
+    alone = {r.cutoff: r.pvalue for r in stats.normal_pvalues(rows("score double, decoy int", data), "score", "decoy").collect()}
+    assert len(got) == len({s for s, d in data if d == 0}) and all(abs(r.pvalue - alone[r.cutoff]) < 1e-9 for r in got)
+    assert all(a.qvalue >= b.qvalue and a.svalue >= b.svalue for a, b in zip(got, got[1:]))
