@@ -22,8 +22,9 @@ def top_sql(groups: tuple[str, ...]) -> str:
     return f"SELECT * FROM ({OBSERVATIONS_SQL}) QUALIFY row_number() OVER (PARTITION BY {', '.join(groups)} ORDER BY score DESC, {', '.join(TIES)}) = 1"
 
 
-def table_sql(groups: tuple[str, ...], keys: tuple[str, ...] = (), pi0: str | None = None) -> str:
+def table_sql(groups: tuple[str, ...], keys: tuple[str, ...] = (), pi0: str | None = None, pfdr: bool = False) -> str:
     """The error table of the best observations as CTEs ``v, r, lv, nul, met, tab``."""
+    sure = (lambda x, of: f"({x}) / nullif(1 - power({of}, m), 0)") if pfdr else (lambda x, of: x)
     k = "".join(f"{x}, " for x in keys)
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     by_p = f"PARTITION BY {k}above" if keys else "PARTITION BY above"
@@ -38,9 +39,9 @@ r AS (SELECT *, greatest(sum(d) OVER ({part} ORDER BY score DESC) - d, 1)::bigin
 lv AS (SELECT {k}above, sum(t) AS n, max(t_up) AS n_pos, any_value(m)::double AS m, above::double / any_value(m0) AS pvalue FROM r WHERE t > 0 GROUP BY {k}above),
 nul AS (SELECT {k}{pi0} AS pi0 FROM lv {group}),
 raw AS (SELECT a.*, pi0, n_pos - pi0 * m * pvalue AS tp, pi0 * m * pvalue AS fp, pi0 * m * (1 - pvalue) AS tn, m - n_pos - pi0 * m * (1 - pvalue) AS fn FROM lv a JOIN nul b ON {on}),
-met AS (SELECT *, coalesce(fp / nullif(pi0 * m, 0), 0.0) AS fpr, {clamp("fp / n_pos")} AS fdr, {clamp("coalesce(fn / nullif(m - n_pos, 0), 0.0)")} AS fnr,
+met AS (SELECT *, coalesce(fp / nullif(pi0 * m, 0), 0.0) AS fpr, {clamp(sure("fp / n_pos", "1 - pvalue"))} AS fdr, {clamp(sure("coalesce(fn / nullif(m - n_pos, 0), 0.0)", "pvalue"))} AS fnr,
  max({clamp("coalesce(tp / nullif(m - pi0 * m, 0), 1.0)")}) OVER ({part} ORDER BY above) AS svalue,
- min(least(fp / n_pos, 1.0)) OVER ({part} ORDER BY above DESC) AS qvalue FROM raw),
+ min(least({sure("fp / n_pos", "1 - pvalue")}, 1.0)) OVER ({part} ORDER BY above DESC) AS qvalue FROM raw),
 tab AS (SELECT {"".join(f"b.{x}, " for x in keys)}b.score AS cutoff, b.t AS n_targets, {", ".join(stats.METRICS)} FROM r b JOIN met a ON a.above = b.above AND {on} WHERE b.t > 0)"""
 
 
@@ -97,7 +98,13 @@ def pi0_smoother(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.pi0(stats.p_levels(ranked), method="smoother"), 6)
 
 
-@QUERIES.add("normal_pvalue")
+@QUERIES.add(
+    "normal_pvalue",
+    f"""WITH RECURSIVE top AS ({top_sql(("entity",))}), f AS (SELECT avg(score) AS mu, stddev_samp(score) AS sd FROM top WHERE decoy = 1),
+t AS (SELECT score AS cutoff, count(*) AS n_targets, any_value((score - mu) / sd) AS z FROM top, f WHERE decoy = 0 GROUP BY score),
+s AS (SELECT cutoff, z, 0 AS k, z AS term, z AS total FROM t UNION ALL SELECT cutoff, z, k + 1, term * z * z / (2 * k + 3), total + term * z * z / (2 * k + 3) FROM s WHERE k < 150)
+SELECT round(cutoff, 9) AS cutoff, n_targets, round(0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * total, 9) AS pvalue FROM s JOIN t USING (cutoff, z) WHERE k = 150""",
+)
 def normal_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.normal_pvalues(top(spark, sf, ("entity",)), "score", "decoy"))
 
@@ -112,7 +119,7 @@ def local_fdr_by_run(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.error_table(top(spark, sf, ("entity", "run")), "score", "decoy", ("run",), local_fdr=True))
 
 
-@QUERIES.add("pfdr_error_table")
+@QUERIES.add("pfdr_error_table", f"WITH {table_sql(('entity',), pfdr=True)} SELECT {rounded_sql(['cutoff', *stats.METRICS])}, n_targets FROM tab")
 def pfdr_error_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.error_table(top(spark, sf, ("entity",)), "score", "decoy", (), LAMBDA, pfdr=True))
 
@@ -154,13 +161,29 @@ def find_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.find_cutoff(control(spark, sf, ("entity",)).withColumn("qvalue", F.round(F.col("qvalue"), 9)), 0.05))
 
 
-@QUERIES.add("final_error_table")
+_ROW = "struct_pack(" + ", ".join(f"{c} := {c}" for c in ("cutoff", "n_targets", *[m for m in stats.METRICS])) + ")"
+
+
+@QUERIES.add(
+    "final_error_table",
+    f"""WITH {table_sql(("entity",))}, f AS (SELECT cutoff::float AS c, arg_min({_ROW}, cutoff) AS v FROM tab GROUP BY 1), e AS (SELECT min(cutoff) AS lo, max(cutoff) AS hi, (max(cutoff) - min(cutoff)) * 0.05 AS margin FROM tab),
+g AS (SELECT i::int AS i, ((lo - margin) + ((hi + margin) - (lo - margin)) * i / 50)::float AS s FROM e, (SELECT unnest(range(51)) AS i)),
+n AS (SELECT i, s, CASE WHEN a.c IS NULL THEN b.v WHEN b.c IS NULL THEN a.v WHEN s - a.c < b.c - s THEN a.v ELSE b.v END AS v FROM g ASOF LEFT JOIN f a ON s >= a.c ASOF LEFT JOIN f b ON s <= b.c)
+SELECT i, round(s::double, 9) AS cutoff, v.n_targets AS n_targets, {", ".join(f"round(v.{m}, 9) AS {m}" for m in stats.METRICS)} FROM n""",
+)
 def final_error_table(spark: SparkSession, sf: str) -> DataFrame:
     told = stats.final_error_table(control(spark, sf, ("entity",)))
     return rounded(told.withColumn("cutoff", F.col("cutoff").cast("double")))
 
 
-@QUERIES.add("summary_error_table")
+@QUERIES.add(
+    "summary_error_table",
+    f"""WITH {table_sql(("entity",))}, one AS (SELECT qvalue, arg_min({_ROW}, cutoff) AS v FROM tab GROUP BY 1), f AS (SELECT qvalue::float AS c, arg_min(v, qvalue) AS v FROM one GROUP BY 1),
+g AS (SELECT i, q, q::float AS s FROM (SELECT unnest(range({len(stats.SUMMARY_QVALUES)})) AS i, unnest({list(stats.SUMMARY_QVALUES)}::double[]) AS q)),
+n AS (SELECT i, q, CASE WHEN a.c IS NULL THEN b.v WHEN b.c IS NULL THEN a.v WHEN s - a.c < b.c - s THEN a.v ELSE b.v END AS v FROM g ASOF LEFT JOIN f a ON s >= a.c ASOF LEFT JOIN f b ON s <= b.c),
+o AS (SELECT *, coalesce(lag(v.qvalue) OVER (ORDER BY i) = v.qvalue, false) AS again FROM n)
+SELECT q AS qvalue, CASE WHEN NOT again THEN v.n_targets END AS n_targets, {", ".join(f"CASE WHEN NOT again THEN round(v.{m}, 9) END AS {m}" for m in ("cutoff", *stats.METRICS) if m != "qvalue")} FROM o""",
+)
 def summary_error_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.summary_error_table(control(spark, sf, ("entity",))))
 
