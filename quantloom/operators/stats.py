@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import normal
-from quantloom.operators.scan import running
+from quantloom.operators.scan import ONE_TASK_BYTES, plan_bytes, running
 from quantloom.runtime import written
 
 #: Default lambdas, and the q-values of the summary table.
@@ -66,39 +66,43 @@ def pi0(levels: DataFrame, keys: Sequence[str] = (), lambdas: Sequence[float] |
     """
     if isinstance(lambdas, (int, float)):
         return levels.groupBy(*keys).agg(F.least(pi0_at(levels, [lambdas])[0], F.lit(1.0)).alias("pi0"))
-    if len(lambdas) < 4:
-        raise ValueError("at least four lambdas are needed")
-    if min(lambdas) < 0 or max(lambdas) >= 1:
-        raise ValueError("lambda must be within [0, 1)")
+    _check_lambdas(lambdas)
     each = levels.groupBy(*keys).agg(F.array(*pi0_at(levels, lambdas)).alias("est"), F.array(*[F.sum(F.when(F.col("pvalue") >= at, F.col("n")).otherwise(0)) for at in lambdas]).alias("w"), F.sum("n").alias("m"))
-    est = [F.col("est")[i] for i in range(len(lambdas))]
+    return each.select(*keys, _pi0_of([F.col("est")[i] for i in range(len(lambdas))], [F.col("w")[i] for i in range(len(lambdas))], F.col("m"), lambdas, method, smooth_df, log).alias("pi0"))
+
+
+def _pi0_of(est: Sequence[Column], w: Sequence[Column], m: Column, lambdas: Sequence[float], method: str, smooth_df: int = 3, log: bool = False) -> Column:
+    """The null share from the lambdas' estimates, their numbers of targets and the number of all targets."""
     if method == "smoother":
         import numpy as np
 
         x = np.vander(np.asarray(lambdas, float), smooth_df + 1)
         weights = (x @ np.linalg.pinv(x))[-1]
         values = [F.log(e) for e in est] if log else est
-        smooth = reduce(Column.__add__, [float(w) * v for w, v in zip(weights, values)])
-        return each.select(*keys, F.least(F.exp(smooth) if log else smooth, F.lit(1.0)).alias("pi0"))
+        smooth = reduce(Column.__add__, [float(c) * v for c, v in zip(weights, values)])
+        return F.least(F.exp(smooth) if log else smooth, F.lit(1.0))
     if method != "bootstrap":
         raise ValueError("method must be bootstrap or smoother")
-    ordered = F.array_sort("est")
+    ordered = F.array_sort(F.array(*est))
     least = ordered[0] + (ordered[1] - ordered[0]) * (0.001 * (len(lambdas) - 1))
-    mse = [
-        (F.col("w")[i] / (F.col("m") * F.col("m") * (1 - at) ** 2)) * (1 - F.col("w")[i] / F.col("m")) + F.pow(est[i] - least, F.lit(2.0))
-        for i, at in enumerate(lambdas)
-    ]
+    mse = [(w[i] / (m * m * (1 - at) ** 2)) * (1 - w[i] / m) + F.pow(est[i] - least, F.lit(2.0)) for i, at in enumerate(lambdas)]
     best = F.array_min(F.array(*[F.struct(e.alias("mse"), F.lit(i).alias("i"), est[i].alias("pi0")) for i, e in enumerate(mse)]))
-    return each.select(*keys, F.least(best["pi0"], F.lit(1.0)).alias("pi0"))
+    return F.least(best["pi0"], F.lit(1.0))
+
+
+def _check_lambdas(lambdas: Sequence[float]) -> None:
+    if len(lambdas) < 4:
+        raise ValueError("at least four lambdas are needed")
+    if min(lambdas) < 0 or max(lambdas) >= 1:
+        raise ValueError("lambda must be within [0, 1)")
 
 
 def _clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
-def level_metrics(levels: DataFrame, null_share: DataFrame, keys: Sequence[str] = (), pfdr: bool = False) -> DataFrame:
-    """q-value, s-value and confusion numbers of every distinct p-value."""
-    joined = levels.join(null_share, list(keys)) if keys else levels.join(F.broadcast(null_share))
+def _measured(joined: DataFrame, pfdr: bool) -> DataFrame:
+    """Confusion numbers and rates from ``pvalue``, ``pi0``, ``m`` and ``n_pos``, with ``_q1`` and ``_sens`` before they are made monotone."""
     p, m, pos = F.col("pvalue"), F.col("m").cast("double"), F.col("n_pos").cast("double")
     null = F.col("pi0") * m
     positive_fdr = lambda x, of: F.try_divide(x, 1 - F.pow(of, m)) if pfdr else x
@@ -115,6 +119,13 @@ def level_metrics(levels: DataFrame, null_share: DataFrame, keys: Sequence[str]
         _clamp(F.coalesce(F.try_divide("tp", m - null), F.lit(1.0))).alias("_sens"),
         F.least(F.col("_q"), F.lit(1.0)).alias("_q1"),
     )
+    return base
+
+
+def level_metrics(levels: DataFrame, null_share: DataFrame, keys: Sequence[str] = (), pfdr: bool = False) -> DataFrame:
+    """q-value, s-value and confusion numbers of every distinct p-value."""
+    joined = levels.join(null_share, list(keys)) if keys else levels.join(F.broadcast(null_share))
+    base = _measured(joined, pfdr)
     up = running(base, "above", {"svalue": ("max", "_sens")}, keys)
     down = running(up, "above", {"qvalue": ("min", "_q1")}, keys, descending=True)
     return down.drop("_q", "_q1", "_sens")
@@ -123,15 +134,19 @@ def level_metrics(levels: DataFrame, null_share: DataFrame, keys: Sequence[str]
 METRICS = ("pvalue", "qvalue", "svalue", "tp", "fp", "tn", "fn", "fpr", "fdr", "fnr")
 
 
-def error_table(rows: DataFrame, score: str, decoy: str, keys: Sequence[str] = (), lambdas: Sequence[float] | float = LAMBDAS, method: str = "bootstrap", pfdr: bool = False, local_fdr: bool = False, parametric: bool = False) -> DataFrame:
+def error_table(rows: DataFrame, score: str, decoy: str, keys: Sequence[str] = (), lambdas: Sequence[float] | float = LAMBDAS, method: str = "bootstrap", pfdr: bool = False, local_fdr: bool = False, parametric: bool = False, one_task_bytes: int | None = None) -> DataFrame:
     """``keys, cutoff, n_targets`` and all metrics (with ``local_fdr`` also ``pep``): one row per distinct target score.
 
     Without decoys there are no p-values and the metrics are null; without targets there is no row. Nulls and
     NaN don't count. Each key has a model of its own. ``parametric`` takes p-values from a normal distribution fitted to the decoys
-    instead of their ranks.
+    instead of their ranks. Where the optimizer's upper estimate of the distinct values is below ``one_task_bytes``, one plan of windows gives the same without any
+    job of its own.
     """
+    values = score_values(rows, score, decoy, keys)
+    if not (local_fdr or parametric) and plan_bytes(values) <= (ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes):
+        return _small_error_table(values, keys, lambdas, method, pfdr)
     # Written once: the distinct values are read by several scans, whose plans then know their true size.
-    ranked = decoy_ranks(written(score_values(rows, score, decoy, keys)), keys)
+    ranked = decoy_ranks(written(values), keys)
     if parametric:
         ranked, levels = parametric_levels(ranked, keys)
     else:
@@ -146,6 +161,28 @@ def error_table(rows: DataFrame, score: str, decoy: str, keys: Sequence[str] = (
     return scores.join(told.select(*keys, "above", *names), [*keys, "above"]).select(*keys, "cutoff", "n_targets", *names)
 
 
+def _small_error_table(values: DataFrame, keys: Sequence[str], lambdas: Sequence[float] | float, method: str, pfdr: bool) -> DataFrame:
+    """The error table as windows over the distinct values of a key: one shuffle, no join and nothing written."""
+    whole = Window.partitionBy(*keys)
+    falling = whole.orderBy(F.col("score").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.select("*", F.greatest(F.sum("d").over(falling) - F.col("d"), F.lit(1)).alias("above"), F.sum("t").over(falling).alias("t_up"), F.sum("t").over(whole).alias("m"), F.sum("d").over(whole).alias("m0"))
+    levels = ranked.where("t > 0").withColumn("pvalue", F.try_divide(F.col("above").cast("double"), F.col("m0").cast("double")))
+    up_to = whole.orderBy("above")
+    levels = levels.withColumn("n_pos", F.max("t_up").over(up_to.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    if isinstance(lambdas, (int, float)):
+        null_share = F.least(F.sum(F.when(F.col("pvalue") >= lambdas, F.col("t")).otherwise(0)).over(whole) / F.sum("t").over(whole) / (1 - lambdas), F.lit(1.0))
+    else:
+        _check_lambdas(lambdas)
+        w = [F.sum(F.when(F.col("pvalue") >= at, F.col("t")).otherwise(0)).over(whole) for at in lambdas]
+        levels = levels.withColumns({f"_w{i}": c for i, c in enumerate(w)})
+        counts = [F.col(f"_w{i}") for i in range(len(lambdas))]
+        null_share = _pi0_of([c / F.col("m") / (1 - at) for c, at in zip(counts, lambdas)], counts, F.col("m"), lambdas, method)
+    told = _measured(levels.withColumn("pi0", null_share), pfdr)
+    so_far = lambda order: whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = told.withColumn("svalue", F.max("_sens").over(so_far(F.col("above").asc()))).withColumn("qvalue", F.min("_q1").over(so_far(F.col("above").desc())))
+    return told.select(*keys, F.col("score").alias("cutoff"), F.col("t").alias("n_targets"), *METRICS)
+
+
 def parametric_levels(ranked: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """``ranked`` with a place in the order of scores for ``above``, and the level of each target score: its upper tail of the decoys' normal distribution."""
     n, total, squares = F.sum("d"), F.sum(F.col("d") * F.col("score")), F.sum(F.col("d") * F.col("score") * F.col("score"))
@@ -275,9 +312,19 @@ def nearest(values: DataFrame, value: str, basis: DataFrame, at: str, keys: Sequ
     whose key has no basis row, get nulls.
     """
     columns = [c for c in basis.columns if c not in (at, *keys)]
-    basis = written(basis)  # distinct values, read twice
+    small = plan_bytes(basis) <= ONE_TASK_BYTES and plan_bytes(values) <= ONE_TASK_BYTES
+    basis = basis if small else written(basis)  # distinct values, read twice
     one = basis.where(F.col(at).isNotNull()).groupBy(*keys, F.col(at).cast("float").alias("_v")).agg(F.min(F.struct(F.col(at), *columns)).alias("_row"))
     wanted = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("float").alias("_v")).distinct()
+    if small:  # one window each way carries the rows themselves
+        both = one.select(*keys, "_v", "_row").unionByName(wanted.select(*keys, "_v", F.lit(None).cast(dict(one.dtypes)["_row"]).alias("_row")))
+        way = lambda o: Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        last = F.last(F.when(F.col("_row").isNotNull(), F.struct("_v", "_row")), ignorenulls=True)
+        near = both.select(*keys, "_v", F.col("_row").isNull().alias("_asked"), last.over(way(F.col("_v").asc())).alias("_lo"), last.over(way(F.col("_v").desc())).alias("_hi")).where("_asked")
+        nearer = (F.col("_v") - F.col("_lo._v")) < (F.col("_hi._v") - F.col("_v"))
+        pick = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull(), F.col("_lo")).when(nearer, F.col("_lo")).otherwise(F.col("_hi"))
+        found = near.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_v").alias("_want"), pick.alias("_met")).select(*[f"_k{i}" for i in range(len(keys))], "_want", "_met._row.*")
+        return _met(values, value, found, keys)
     both = one.select(*keys, "_v", F.lit(1).alias("_is")).unionByName(wanted.select(*keys, "_v", F.lit(0).alias("_is"))).groupBy(*keys, "_v").agg(F.max("_is").alias("_is"))
     marked = both.withColumn("_b", F.when(F.col("_is") == 1, F.col("_v")))
     near = running(running(marked, "_v", {"_lo": ("max", "_b")}, keys), "_v", {"_hi": ("min", "_b")}, keys, descending=True)
@@ -285,6 +332,11 @@ def nearest(values: DataFrame, value: str, basis: DataFrame, at: str, keys: Sequ
     pick = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull(), F.col("_lo")).when(lower_is_nearer, F.col("_lo")).otherwise(F.col("_hi"))
     found = near.select(*keys, F.col("_v").alias("_want"), pick.alias("_v")).join(one, [*keys, "_v"])
     found = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_want", "_row.*")
+    return _met(values, value, found, keys)
+
+
+def _met(values: DataFrame, value: str, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``values`` with what was found for them."""
     same = F.col(value).cast("float") == F.col("_want")
     for i, k in enumerate(keys):
         same = same & (F.col(k) == F.col(f"_k{i}"))

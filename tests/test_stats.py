@@ -45,6 +45,7 @@ def naive_table(targets, decoys, pi0):
 @pytest.mark.parametrize("one_task", [1 << 30, 0])
 def test_error_table_against_brute_force(rows, monkeypatch, one_task):
     monkeypatch.setattr(stats, "running", lambda *a, **k: scan.running(*a, **k, one_task_bytes=one_task))
+    monkeypatch.setattr(stats, "ONE_TASK_BYTES", one_task)
     rng = random.Random(5)
     targets = [round(rng.gauss(1.5, 1), 1) for _ in range(150)]
     decoys = [round(rng.gauss(0, 1), 1) for _ in range(90)]
@@ -143,6 +144,7 @@ def test_chromatogram_hypotheses(rows):
 @pytest.mark.parametrize("one_task", [1 << 30, 0])
 def test_nearest(rows, monkeypatch, one_task):
     monkeypatch.setattr(stats, "running", lambda *a, **k: scan.running(*a, **k, one_task_bytes=one_task))
+    monkeypatch.setattr(stats, "ONE_TASK_BYTES", one_task)
     basis = rows("at double, name string", [(1.0, "a"), (2.0, "b"), (4.0, "c"), (4.0, "c")])
     values = rows("v double, name2 string", [(0.0, "x"), (1.5, "x"), (1.4, "x"), (3.1, "x"), (9.0, "x"), (4.0, "x"), (None, "x")])
     got = {r.v: r.name for r in stats.nearest(values, "v", basis, "at").collect()}
@@ -228,3 +230,13 @@ def test_parametric_error_table(rows):
     alone = {r.cutoff: r.pvalue for r in stats.normal_pvalues(rows("score double, decoy int", data), "score", "decoy").collect()}
     assert len(got) == len({s for s, d in data if d == 0}) and all(abs(r.pvalue - alone[r.cutoff]) < 1e-9 for r in got)
     assert all(a.qvalue >= b.qvalue and a.svalue >= b.svalue for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("how", [{"lambdas": 0.4}, {}, {"method": "smoother"}, {"pfdr": True}])
+def test_small_and_large_error_tables_agree(rows, how):
+    rng = random.Random(12)
+    data = [(round(rng.gauss(1.5 * (i % 3 > 0), 1), 1), int(i % 3 == 0), rng.choice("ab")) for i in range(400)]
+    df = rows("score double, decoy int, run string", data)
+    small, large = (stats.error_table(df, "score", "decoy", ("run",), one_task_bytes=b, **how).orderBy("run", "cutoff").toPandas() for b in (1 << 30, 0))
+    np.testing.assert_allclose(small[["cutoff", "n_targets", *stats.METRICS]].astype(float), large[["cutoff", "n_targets", *stats.METRICS]].astype(float), atol=1e-12)
+    assert list(small.run) == list(large.run)
