@@ -36,6 +36,15 @@ def composition_posterior(rows: DataFrame) -> DataFrame:
     return sums
 
 
+def weighted_fdr(rows: DataFrame, pep: str, weight: str, name: str = "fdr") -> DataFrame:
+    """``rows`` with the weighted mean of all error probabilities up to their own (peers included): the FDR of a region of a density."""
+    from quantloom.operators.scan import running
+
+    levels = rows.where(F.col(pep).isNotNull()).groupBy(F.col(pep).alias("_pep")).agg(F.sum(weight).alias("_w")).withColumn("_mass", F.col("_pep") * F.col("_w"))
+    told = running(levels, "_pep", {"_cum": ("sum", "_mass"), "_cw": ("sum", "_w")}).select("_pep", F.coalesce(F.try_divide("_cum", "_cw"), F.lit(0.0)).alias(name))
+    return rows.join(told, F.col(pep) == F.col("_pep"), "left").drop("_pep")
+
+
 def density_grid_fdr(rows: DataFrame, x: str, y: str, is_target: str, bins: int = 64, smooth: int = 2) -> DataFrame:
     """``rows`` with ``pep``: share of decoys in the smoothed density at the two part scores, made monotone in both.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from quantloom.plans import exports, inference, learning, quantification, records, relations, statistics
+    from quantloom.plans import exports, inference, learning, quantification, reads, records, relations, statistics
 
     found: dict = {}
-    for module in (records, statistics, relations, inference, quantification, learning, exports):
+    for module in (records, statistics, relations, reads, inference, quantification, learning, exports):
         found |= module.QUERIES
     return found
