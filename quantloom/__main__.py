@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     c = command("score", "learn or apply a score on a flat table", "table", "out")
-    c.add_argument("--classifier", choices=["lda", "svm"], default="lda")
+    c.add_argument("--classifier", choices=["lda", "svm", "trees"], default="lda")
     c.add_argument("--group", default="group_id")
     c.add_argument("--ties", nargs="*", default=[])
     c.add_argument("--main")
@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--folds", type=int, default=10)
     c.add_argument("--rounds", type=int, default=10)
     c.add_argument("--fraction", type=float, default=1.0)
+    c.add_argument("--tune", action="store_true")
     c = command("infer", "error control of entities in a context", "table", "out")
     c.add_argument("--entity", default="peptide_id")
     c.add_argument("--context", choices=["global", "experiment-wide", "run-specific"], default="global")
@@ -59,7 +60,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command == "score":
         source = readers.read_tsv(spark, a.table) if a.table.endswith((".tsv", ".txt", ".csv")) else readers.read_parquet(spark, a.table)
         weights = spark.read.parquet(a.weights) if a.weights else None
-        scored, model = api.score(source, a.group, "decoy", a.ties, a.main, a.classifier, a.folds, a.rounds, a.fraction, weights)
+        scored, model = api.score(source, a.group, "decoy", a.ties, a.main, a.classifier, a.folds, a.rounds, a.fraction, weights, tune=a.tune)
         writers.write_parquet(scored, f"{a.out}/scored.parquet")
         writers.write_parquet(model, f"{a.out}/weights.parquet")
     elif a.command == "infer":

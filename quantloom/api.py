@@ -27,17 +27,39 @@ def save(tables: dict[str, DataFrame], store: str) -> None:
         writers.write_parquet(df, f"{store}/{name}.parquet")
 
 
-def score(table: DataFrame, group: str = "group_id", decoy: str = "decoy", ties: Sequence[str] = (), main: str | None = None, classifier: str = "lda", folds: int = 10, rounds: int = 10, fraction: float = 1.0, weights: DataFrame | None = None, level: str = "ms2", local_fdr: bool = True) -> tuple[DataFrame, DataFrame]:
+def score(table: DataFrame, group: str = "group_id", decoy: str = "decoy", ties: Sequence[str] = (), main: str | None = None, classifier: str = "lda", folds: int = 10, rounds: int = 10, fraction: float = 1.0, weights: DataFrame | None = None, level: str = "ms2", local_fdr: bool = True, tune: bool = False, columns: Sequence[str] | None = None, meta: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Scored rows and weights. With ``weights`` the stored model is applied; with ``fraction`` below 1 it is learnt on
-    the groups of that share (by hash) and applied to all rows."""
-    data = learn.prepare(table, group, decoy, ties, main)
+    the groups of that share (by hash) and applied to all rows. ``classifier``: ``lda``, ``svm`` or ``trees`` (see ``learn_model``)."""
+    data = learn.prepare(table, group, decoy, ties, main, columns, meta=meta)
     if weights is not None:
         model = learn.LinearModel.from_table(weights, level, data.columns)
     else:
-        fit = {"lda": learn.fit_lda, "svm": learn.fit_svm}[classifier]
-        sample = data if fraction >= 1 else learn.Prepared(relational.hash_sample(data.rows, "group", fraction), data.columns, data.main, data.ties)
-        model = learn.learn(sample, folds, rounds, fit=fit)
-    return learn.apply(data, model, local_fdr=local_fdr), model.table(table.sparkSession, level)
+        model = learn_model(data, classifier, folds, rounds, fraction, tune, meta)
+    importance = model.table(table.sparkSession, level) if isinstance(model, learn.LinearModel) else tree_importance(model, data.columns, table.sparkSession, level)
+    return learn.apply(data, model, local_fdr=local_fdr), importance
+
+
+def learn_model(data: learn.Prepared, classifier: str = "lda", folds: int = 10, rounds: int = 10, fraction: float = 1.0, tune: bool = False, meta: Sequence[str] = ()) -> learn.Model:
+    """The semi-supervised model: averaged discriminants, or support vectors or trees fitted on cross-validated scores; with ``tune`` their settings
+    are searched first, on the training set that the main score chooses."""
+    sample = data if fraction >= 1 else learn.Prepared(relational.hash_sample(data.rows, "group", fraction), data.columns, data.main, data.ties)
+    if classifier == "lda" and not meta:
+        return learn.learn(sample, folds, rounds)
+    fits = {"lda": (learn.fit_lda, None), "svm": (learn.fit_svm, learn.tune_svm), "trees": (learn.fit_boosted, learn.tune_trees)}
+    if classifier not in fits:
+        raise ValueError(f"unknown classifier {classifier}")
+    fit, search = fits[classifier]
+    if tune and search is not None:
+        first = learn.training_set(sample.rows.withColumn("score", F.col(f"`{data.main}`")), data.ties, 0.15, meta=meta)
+        settings = search(first, data.columns)
+        plain, fit = fit, lambda rows, names: plain(rows, names, **settings)
+    return learn.learn_final(sample, fit, folds, rounds, meta=meta)
+
+
+def tree_importance(model: learn.TreeModel, columns: Sequence[str], spark: SparkSession, level: str) -> DataFrame:
+    """The part each column has in the trees' gain, in the form of a table of weights."""
+    gains = model.pipeline.stages[-1].featureImportances.toArray()
+    return spark.createDataFrame([(c, float(g), level) for c, g in zip(columns, gains)], "score string, weight double, level string")
 
 
 def choose_main_score(data: learn.Prepared, candidates: Sequence[str] | None = None, fdr: float = 0.15) -> str:

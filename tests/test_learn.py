@@ -102,3 +102,44 @@ def test_queries_learn_with_the_defaults(data, monkeypatch, query, learner):
     with pytest.raises(Seen) as seen:
         learning.QUERIES[query].run(None, "")
     assert seen.value.args == ({},)
+
+
+def test_folds_together_equal_folds_one_by_one(data):
+    prepared = learn.prepare(data, "group_id", "decoy", ["i"])
+    together = learn._lda_folds(prepared, 3, 2, 0.5, 0.15, 0.05)
+    one_by_one = learn._folds(prepared, lambda rows, columns: learn.fit_lda(rows, columns), 3, 2, 0.5, 0.15, 0.05)
+    for a, b in zip(together, one_by_one):
+        assert a.weights.keys() == b.weights.keys() and np.allclose(list(a.weights.values()), [b.weights[c] for c in a.weights])
+
+
+def test_final_learner_of_trees_and_its_file(data, tmp_path):
+    prepared = learn.prepare(data, "group_id", "decoy", ["i"])
+    model = learn.learn_final(prepared, lambda rows, columns: learn.fit_boosted(rows, columns, trees=3, depth=2), folds=2, rounds=1, first_fdr=0.3, fdr=0.3)
+    means = {r.decoy: r.m for r in model.scored(prepared.rows.where("i = 0")).groupBy("decoy").agg(F.avg("score").alias("m")).collect()}
+    assert means[0] > means[1]
+    model.save(str(tmp_path / "trees"))
+    again = learn.TreeModel.load(str(tmp_path / "trees")).scored(prepared.rows)
+    assert again.join(model.scored(prepared.rows).withColumnRenamed("score", "other"), ["group", "i"]).where("abs(score - other) > 1e-12").count() == 0
+
+
+def test_searches(data):
+    rows = learn.prepare(data, "group_id", "decoy", ["i"]).rows.where("i = 0")
+    best = learn.tune_svm(rows, ["var_a", "var_b"], regs=(0.01, 1e6), iterations=(10,), class_weights=(None, (1.0, 10.0)), splits=2)
+    assert set(best) == {"reg", "max_iter", "weights"} and best["reg"] == 0.01
+    assert set(learn.tune_trees(rows, ["var_a"], tries=2, splits=2)) == {"trees", "depth", "step", "subsample", "min_rows"}
+
+
+def test_training_targets_by_meta_columns(data):
+    marked = data.withColumn("meta_is_unique_mapping", F.when(F.col("i") == 0, 1.0))
+    prepared = learn.prepare(marked, "group_id", "decoy", ["i"], meta=["meta_is_unique_mapping"])
+    scored = prepared.rows.withColumn("score", F.col("main_score"))
+    plain, chosen = learn.training_set(scored, ["i"], 0.3), learn.training_set(scored, ["i"], 0.3, meta=["meta_is_unique_mapping"])
+    assert chosen.where("decoy = 0 AND i > 0").count() == 0 < chosen.where("decoy = 0").count() < plain.where("decoy = 0").count() and chosen.where("decoy = 1").count() == 120
+    with pytest.raises(ValueError):
+        learn.training_set(scored.withColumn("meta_is_unique_mapping", F.lit(None).cast("double")), ["i"], 0.3, meta=["meta_is_unique_mapping"])
+
+
+def test_too_many_weights_are_an_error(spark):
+    table = spark.range(10_001).selectExpr("concat('c', id) AS score", "1.0D AS weight", "'ms2' AS level")
+    with pytest.raises(ValueError):
+        learn.LinearModel.from_table(table, "ms2")
