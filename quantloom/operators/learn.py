@@ -96,7 +96,8 @@ def prepare(table: DataFrame, group: str, decoy: str, ties: Sequence[str], main:
     kept = [F.col(f"`{c}`").cast("double").alias(c) for c in named]
     rows = table.select(F.col(group).cast("string").alias("group"), F.col(decoy).cast("int").alias("decoy"), *ties, *kept, *[F.col(c).cast("double") for c in meta])
     rows = rows.dropna(subset=named).where(reduce(Column.__and__, [~F.isnan(f"`{c}`") for c in named]))
-    rows = written(rows)
+    # Rows of a group lie together, so maxima per group are mostly found before any shuffle; a range also splits groups that are very large.
+    rows = written(rows.repartitionByRange("group", *ties).sortWithinPartitions("group", "decoy"))
     groups = {r["decoy"]: r["n"] for r in rows.groupBy("decoy").agg(F.count_distinct("group").alias("n")).collect()}
     if min(groups.get(0, 0), groups.get(1, 0)) < min_groups:
         raise ValueError(f"too few groups of targets or decoys: {groups}")
@@ -290,18 +291,17 @@ def _folds(data: Prepared, fit: Fit, folds: int, rounds: int, share: float, firs
 def _lda_folds(data: Prepared, folds: int, rounds: int, share: float, first_fdr: float, fdr: float, lambdas=0.4) -> list[LinearModel]:
     """The discriminants of all folds: a round is one pass that finds every fold's top row per group, one error table by fold, one pass of moments by fold."""
     others = [c for c in data.columns if c != data.main] or data.columns
-    inside = F.filter(F.array(*[F.lit(k) for k in range(folds)]), lambda k: F.pmod(F.xxhash64("group", k), F.lit(10_000)) < int(share * 10_000))
     models = [LinearModel({data.main: 1.0})] * folds
     cells = F.struct(*[F.col(f"`{c}`") for c in data.columns])
 
-    def best(model: LinearModel) -> Column:
+    def best(k: int, model: LinearModel) -> Column:
         score = F.col(f"`{data.main}`") if list(model.weights) == [data.main] else model.score()
-        return F.min_by(F.struct(score.alias("score"), cells.alias("cells")), F.struct(-score, *[F.col(t) for t in data.ties]))
+        member = F.pmod(F.xxhash64("group", F.lit(k)), F.lit(10_000)) < int(share * 10_000)
+        return F.min_by(F.struct(score.alias("score"), cells.alias("cells")), F.when(member, F.struct(-score, *[F.col(t) for t in data.ties])))
 
     for nth in range(rounds + 1):
-        each = data.rows.groupBy("group", "decoy").agg(F.array(*[best(m) for m in models]).alias("_top"))
-        member = each.select("group", "decoy", "_top", F.explode(inside).alias("fold")).select("fold", "decoy", F.get("_top", F.col("fold")).alias("_t"))
-        top = written(member.select("fold", "decoy", "_t.score", "_t.cells.*"))
+        each = data.rows.groupBy("group", "decoy").agg(F.array(*[best(k, m) for k, m in enumerate(models)]).alias("_top"))
+        top = written(each.select("decoy", F.posexplode("_top").alias("fold", "_t")).where("_t IS NOT NULL").select("fold", "decoy", "_t.score", "_t.cells.*"))
         table = stats.error_table(top, "score", "decoy", ("fold",), lambdas)
         level = first_fdr if nth == 0 else fdr
         cutoffs = {r["fold"]: r["cutoff"] for r in table.groupBy("fold").agg(F.min_by("cutoff", F.struct(F.abs(F.col("qvalue") - level), F.col("cutoff"))).alias("cutoff")).collect()}
