@@ -49,6 +49,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--runs", nargs="*", type=int)
     c.add_argument("--peptides", nargs="*")
     c.add_argument("--peptide-qvalue", type=float)
+    c.add_argument("--protein-qvalue", type=float)
+    c.add_argument("--gene-qvalue", type=float)
     c.add_argument("--ms2-qvalue", type=float)
     c.add_argument("--no-decoys", action="store_true")
     command("backpropagate", "context scores of a merged store into a run's", "store", "merged", "out")
@@ -76,7 +78,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "split":
         api.split(api.load(spark, a.store), a.out)
     elif a.command == "filter":
-        api.save(api.keep(api.load(spark, a.store), a.runs, a.peptides, a.peptide_qvalue, a.ms2_qvalue, not a.no_decoys), a.out)
+        api.save(api.keep(api.load(spark, a.store), a.runs, a.peptides, a.peptide_qvalue, a.ms2_qvalue, not a.no_decoys, a.protein_qvalue, a.gene_qvalue), a.out)
     elif a.command == "backpropagate":
         from quantloom.operators.files import backpropagate
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.operators import bayes, eav, export, files, learn, quant, relational, report, stats
 from quantloom.sources import paths, readers, writers
 
-TABLES = ("run", "feature", "feature_ms1", "feature_ms2", "feature_transition", "precursor", "precursor_peptide_mapping", "peptide", "peptide_protein_mapping", "protein", "transition", "score_ms2", "score_peptide", "score_protein", "score_transition")
+TABLES = ("run", "feature", "feature_ms1", "feature_ms2", "feature_transition", "precursor", "precursor_peptide_mapping", "peptide", "peptide_protein_mapping", "protein", "peptide_gene_mapping", "gene", "transition", "score_ms2", "score_peptide", "score_protein", "score_gene", "score_transition")
 
 
 def load(spark: SparkSession, store: str) -> dict[str, DataFrame]:
@@ -105,7 +105,7 @@ def infer_peptidoforms(precursors: DataFrame, transitions: DataFrame, max_precur
 
 
 def export_tsv(tables: dict[str, DataFrame], limits: export.Thresholds = export.Thresholds()) -> DataFrame:
-    contexts = {"peptide_contexts": eav.context_rows(tables["score_peptide"], "peptide_id")} if "score_peptide" in tables else {}
+    contexts = {f"{e}_contexts": eav.context_rows(tables[f"score_{e}"], f"{e}_id") for e in ("peptide", "protein") if f"score_{e}" in tables}
     return export.long_export(tables | contexts, limits)
 
 
@@ -146,7 +146,7 @@ def reduce(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def merge(stores: Sequence[dict[str, DataFrame]], same_run: int | None = None) -> dict[str, DataFrame]:
     """One store of all rows; library tables, which repeat, are kept once. With ``same_run`` all rows that name a run name that one, in every table."""
-    library = ("precursor", "precursor_peptide_mapping", "peptide", "peptide_protein_mapping", "protein", "transition")
+    library = ("precursor", "precursor_peptide_mapping", "peptide", "peptide_protein_mapping", "protein", "peptide_gene_mapping", "gene", "transition")
     out = {}
     for name in dict.fromkeys(n for s in stores for n in s):
         parts = [s[name] for s in stores if name in s]
@@ -169,7 +169,7 @@ def split(tables: dict[str, DataFrame], folder: str) -> None:
             writers.write_parquet(df, f"{folder}/{name}.parquet")
 
 
-def keep(tables: dict[str, DataFrame], runs: Sequence[int] | None = None, peptides: Sequence[str] | None = None, peptide_qvalue: float | None = None, ms2_qvalue: float | None = None, decoys: bool = True) -> dict[str, DataFrame]:
+def keep(tables: dict[str, DataFrame], runs: Sequence[int] | None = None, peptides: Sequence[str] | None = None, peptide_qvalue: float | None = None, ms2_qvalue: float | None = None, decoys: bool = True, protein_qvalue: float | None = None, gene_qvalue: float | None = None) -> dict[str, DataFrame]:
     """A store cut to features that pass all filters in use, with its dependants."""
     features = tables["feature"]
     if runs is not None:
@@ -185,6 +185,11 @@ def keep(tables: dict[str, DataFrame], runs: Sequence[int] | None = None, peptid
     if peptide_qvalue is not None:
         good = tables["score_peptide"].where(F.col("qvalue") < peptide_qvalue).select("peptide_id").distinct()
         wanted = good if wanted is None else wanted.join(good, "peptide_id", "left_semi")
+    for entity, limit in (("protein", protein_qvalue), ("gene", gene_qvalue)):
+        if limit is not None:
+            good = tables[f"score_{entity}"].where(F.col("qvalue") < limit).select(f"{entity}_id").distinct()
+            of = tables[f"peptide_{entity}_mapping"].join(good, f"{entity}_id", "left_semi").select("peptide_id").distinct()
+            wanted = of if wanted is None else wanted.join(of, "peptide_id", "left_semi")
     if wanted is not None:
         mapped = tables["precursor_peptide_mapping"].join(wanted.distinct(), "peptide_id", "left_semi").select("precursor_id").distinct()
         features = features.join(mapped, "precursor_id", "left_semi")

@@ -94,8 +94,11 @@ def entity_qvalues(rows: DataFrame, context_scores: DataFrame, entity: str, name
 def long_export(tables: Mapping[str, DataFrame], limits: Thresholds = Thresholds(), inner: bool = True) -> DataFrame:
     """The standard long table: identified features of peptides with fragments and peptide error rates.
 
-    ``tables``: feature, precursor, score_ms2, precursor_peptide_mapping, peptide, and where present feature_transition, transition and
-    ``peptide_contexts`` (as ``operators.eav.context_rows`` gives them).
+    ``tables``: feature, precursor, score_ms2, precursor_peptide_mapping, peptide, and where present feature_transition, transition, run (``filename``),
+    feature_ms1 (``aggr_prec_*``), peptide_protein_mapping and protein (accessions joined by ``;``), peptide_gene_mapping and gene (names likewise),
+    ``ipf`` (feature_id, peptide_id, pep, joined to the sequences) and, as ``operators.eav.context_rows`` gives them, ``peptide_contexts`` and
+    ``protein_contexts``. Of a peptide's proteins the one with the least q-value speaks for it. ``tables`` with ``alignment`` add features aligned
+    to identified ones.
     """
     rows = identified(tables["feature"], tables["precursor"], tables["score_ms2"], limits)
     mapping = tables["precursor_peptide_mapping"].where("peptide_id IS NOT NULL").select("precursor_id", "peptide_id").distinct()
@@ -103,11 +106,49 @@ def long_export(tables: Mapping[str, DataFrame], limits: Thresholds = Thresholds
     rows = rows.join(mapping, "precursor_id").join(peptides, "peptide_id")
     if "feature_transition" in tables:
         rows = rows.join(fragment_strings(tables["feature_transition"], tables.get("transition")), "feature_id", "left")
+    if "run" in tables:
+        rows = rows.join(tables["run"].select(F.col("id").alias("run_id"), "filename").distinct(), "run_id", "left")
+    if "feature_ms1" in tables:
+        ms1 = tables["feature_ms1"].groupBy("feature_id").agg(F.max("area_intensity").alias("aggr_prec_peak_area"), F.max("apex_intensity").alias("aggr_prec_peak_apex"))
+        rows = rows.join(ms1, "feature_id", "left")
+    for entity, text in (("protein", "protein_accession"), ("gene", "gene_name")):
+        if f"peptide_{entity}_mapping" in tables and entity in tables:
+            rows = rows.join(entity_lists(tables[f"peptide_{entity}_mapping"], tables[entity], entity, text), "peptide_id", "left")
+    if "ipf" in tables:
+        from quantloom.operators.reads import with_peptidoforms
+
+        named = tables["peptide"].groupBy(F.col("id").alias("peptide_id")).agg(F.max("modified_sequence").alias("modified_sequence")).where("modified_sequence IS NOT NULL")
+        rows = with_peptidoforms(rows, tables["ipf"], named)
+    if "alignment" in tables:
+        rows = with_aligned(rows, tables["alignment"], _unfiltered(tables, limits))
     if "peptide_contexts" in tables:
         rows = entity_qvalues(rows, tables["peptide_contexts"], "peptide_id", "m_score_peptide", limits.peptide_qvalue, inner)
+    if "protein_contexts" in tables and "peptide_protein_mapping" in tables:
+        rows = entity_qvalues(rows, per_item(tables["protein_contexts"], tables["peptide_protein_mapping"], "peptide_id", "protein_id"), "peptide_id", "m_score_protein", limits.protein_qvalue, inner)
     return rows
 
 
+def _unfiltered(tables: Mapping[str, DataFrame], limits: Thresholds) -> DataFrame:
+    """All scored features with their peptides, without cutoffs: the candidates of the alignment."""
+    free = Thresholds(qvalue=None, pep=None, rank=None, decoys=limits.decoys)
+    mapping = tables["precursor_peptide_mapping"].where("peptide_id IS NOT NULL").select("precursor_id", "peptide_id").distinct()
+    peptides = tables["peptide"].groupBy(F.col("id").alias("peptide_id")).agg(F.max("unmodified_sequence").alias("sequence"), F.max("modified_sequence").alias("full_peptide_name"))
+    return identified(tables["feature"], tables["precursor"], tables["score_ms2"], free).join(mapping, "precursor_id").join(peptides, "peptide_id")
+
+
+def per_item(contexts: DataFrame, mapping: DataFrame, item: str, entity: str) -> DataFrame:
+    """Context rows of entities as those of their items: of an item's entities the least q-value per run and context."""
+    pairs = mapping.where(F.col(item).isNotNull() & F.col(entity).isNotNull()).select(F.col(item).alias("_item"), F.col(entity).alias("entity_id")).distinct()
+    return contexts.join(pairs, "entity_id").groupBy(F.col("_item").alias("entity_id"), "run_id", "context").agg(F.min("qvalue").alias("qvalue"))
+
+
+def entity_lists(mapping: DataFrame, entities: DataFrame, entity: str, text: str) -> DataFrame:
+    """``peptide_id`` and the names of its proteins or genes joined by ``;`` in alphabetical order (a peptide has few)."""
+    pairs = mapping.where(F.col("peptide_id").isNotNull()).select("peptide_id", f"{entity}_id").distinct()
+    named = pairs.join(entities.select(F.col("id").alias(f"{entity}_id"), text).where(F.col(text).isNotNull()).distinct(), f"{entity}_id")
+    return named.groupBy("peptide_id").agg(F.array_join(F.array_sort(F.collect_set(text)), ";").alias(text))
+
+
 def with_aligned(rows: DataFrame, alignment: DataFrame, base: DataFrame, max_pep: float = 0.7) -> DataFrame:
     """``rows`` and, flagged ``from_alignment``, features of ``base`` that the alignment ties to an identified one with ``pep`` below the limit."""
     good = alignment.where(F.col("pep") < max_pep)
