@@ -144,3 +144,14 @@ def compound_export(spark: SparkSession, sf: str) -> DataFrame:
     names = t["peptide"].where("id IS NOT NULL").groupBy("id").agg(F.max("unmodified_sequence").alias("compound_name")).withColumn("sum_formula", F.lit("")).withColumn("adducts", F.lit(""))
     scores = t["score_ms2"].groupBy("feature_id").agg(F.min("qvalue").alias("qvalue"), F.min("rank").alias("rank"))
     return export.compounds(features, compound_map, names, scores).select("id", "run_id", "precursor_id", "compound_id", "compound_name", "qvalue", "rank")
+
+
+@QUERIES.add("glyco_density_errors")
+def glyco_density_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-dimensional error rates by kernel densities over part scores; odd lines count as decoys of the glycan part."""
+    from quantloom.operators import glyco
+    from quantloom.plans.proxies import observations, rounded
+
+    o = observations(spark, sf).select("obs", F.col("decoy").alias("decoy_peptide"), (F.col("l_linenumber") % 2).alias("decoy_glycan"), (F.col("score") / 10000).alias("d_score_peptide"), (F.col("quantity") / 10 + F.when(F.col("l_linenumber") % 2 == 0, 2.0).otherwise(0.0)).alias("d_score_glycan"))
+    told = glyco.density_errors(o.withColumn("d_score", F.col("d_score_peptide") + F.col("d_score_glycan")), estimator="kde")
+    return rounded(told.select("obs", *glyco.ERRORS), 6)

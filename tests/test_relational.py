@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from quantloom.operators import export, files, glyco, quant, relational, report
 
 
@@ -94,17 +96,39 @@ def test_glyco(rows):
     assert glyco.normalised_weights({"a": 1, "b": 3}) == {"a": 0.25, "b": 0.75}
     df = rows("g int, i int, a double, b double", [(1, 1, 1.0, 0.0), (1, 2, 0.0, 1.0)])
     assert {r.i: r["rank"] for r in glyco.combined_rank(df, ["g"], {"a": 0.3, "b": 0.7}, ["i"]).collect()} == {1: 2, 2: 1}
-    import random
-
-    rng = random.Random(1)
-    data = [(rng.gauss(3 * t, 1), rng.gauss(3 * t, 1), t) for t in (0, 1) for _ in range(500)]
-    told = glyco.density_grid_fdr(rows("x double, y double, t int", data), "x", "y", "t", bins=32).toPandas()
-    assert told.pep.between(0, 1).all() and told[told.t == 1].pep.mean() < 0.1 < told[told.t == 0].pep.mean()
     f = rows("k int, m double, z int, mz double", [(1, 1000.0, 2, 500.0)])
     c = rows("k int, gm double", [(1, 1000.005), (1, 1001.0)])
     assert glyco.mass_matches(f, c, "k", "m", "gm", "z", "mz", 10).count() == 1
 
 
+@pytest.mark.parametrize("estimator", ["gmm", "kde"])
+def test_density_errors_tell_right_from_wrong_parts(rows, estimator):
+    """Targets of known kinds: right, wrong in one part, wrong in both; decoys score as what is wrong in their part."""
+    import random
+
+    rng = random.Random(3)
+    data, good, bad = [], lambda: rng.gauss(4, 1), lambda: rng.gauss(0, 1)
+    for kind, n, dp, dg, x, y in (("right", 500, 0, 0, good, good), ("peptide", 150, 0, 0, bad, good), ("glycan", 150, 0, 0, good, bad), ("both", 200, 0, 0, bad, bad), ("dp", 500, 1, 0, bad, good), ("dp", 200, 1, 0, bad, bad), ("dg", 500, 0, 1, good, bad), ("dg", 200, 0, 1, bad, bad), ("db", 800, 1, 1, bad, bad)):
+        data += [(kind, dp, dg, x(), y(), None) for _ in range(n)]
+    data.append(("none", 0, 0, None, 1.0, None))
+    df = rows("kind string, decoy_peptide int, decoy_glycan int, d_score_peptide double, d_score_glycan double, pep_x string", data).withColumn("d_score", F.col("d_score_peptide") + F.col("d_score_glycan"))
+    told = glyco.density_errors(df, estimator=estimator, pi0={"peptide": 0.35, "glycan": 0.35, "both": 0.2}, grid=64).toPandas()
+    mean = told.groupby("kind")[list(glyco.ERRORS)].mean()
+    assert mean.pep["right"] < 0.15 and mean.pep["both"] > 0.8 and mean.pep_peptide["peptide"] > 0.6 > 0.4 > mean.pep_glycan["peptide"]
+    targets = told[told.kind.isin(["right", "peptide", "glycan", "both"])]
+    chosen = targets[targets.qvalue < 0.05]
+    assert len(chosen) > 300 and (chosen.kind != "right").mean() < 0.12
+    assert told[told.kind == "none"].pep.isna().all() and ((told.pep.dropna() >= 0) & (told.pep.dropna() <= 1)).all()
+
+
+def test_density_errors_of_nothing_and_null_shares(rows):
+    df = rows("decoy_peptide int, decoy_glycan int, d_score_peptide double, d_score_glycan double, d_score double", [(0, 0, None, 1.0, 1.0)])
+    assert glyco.density_errors(df).first().pep is None
+    with pytest.raises(ValueError):
+        glyco.density_errors(df, estimator="other")
+    some = [(p, g, float(5 * (1 - p)), float(5 * (1 - g)), float(10 - 5 * p - 5 * g)) for p in (0, 1) for g in (0, 1) for _ in range(20)]
+    assert glyco.part_null_shares(rows("decoy_peptide int, decoy_glycan int, d_score_peptide double, d_score_glycan double, d_score double", some), "d_score_peptide", "d_score_glycan", "d_score") == {"peptide": 0.0, "glycan": 0.0, "both": 0.0}
+
 def test_exports(rows):
     features = rows("feature_id int, qvalue double", [(1, 0.01)])
     alignment = rows("feature_id int, reference_feature_id int, pep double, qvalue double", [(2, 1, 0.1, 0.1), (3, 1, 0.9, 0.1), (4, 9, 0.1, 0.1)])
