@@ -86,3 +86,52 @@ def fragments(sequence: Column, charge: int = 1) -> Column:
     b = F.transform(steps, lambda i: ion("b", i, F.substr(sequence, F.lit(1), i), 0.0))
     y = F.transform(steps, lambda i: ion("y", i, F.substr(sequence, n - i + 1, i), WATER))
     return F.concat(b, y)
+
+
+#: Monoisotopic masses of elements, the atoms by which a fragment differs from the sum of its residues, and neutral losses.
+ELEMENTS = {"H": HYDROGEN, "C": 12.0, "N": 14.0030740048, "O": 15.99491461956}
+ION_ATOMS = {"a": {"C": -1, "O": -1}, "b": {}, "c": {"N": 1, "H": 3}, "x": {"C": 1, "O": 2}, "y": {"H": 2, "O": 1}, "z": {"H": -1, "N": -1, "O": 1}}
+FROM_START = ("a", "b", "c")
+LOSSES = {"": {}, "NH3": {"N": 1, "H": 3}, "H2O": {"H": 2, "O": 1}}
+
+
+def atoms_mass(atoms: Mapping[str, int]) -> float:
+    return sum(ELEMENTS[e] * n for e, n in atoms.items())
+
+
+def residue_masses(sequence: Column, modifications: Mapping[str, float] = MODIFICATIONS) -> Column:
+    """The masses of the residues of a sequence with modification codes in brackets behind them; codes before the first letter belong to it.
+
+    ``modifications`` maps codes (with brackets) to masses, as few or as many as a project uses. A residue with an unknown letter or code is null.
+    """
+    first = F.regexp_extract(sequence, r"^[.]?((?:\([^)]*\))*)", 1)
+    tokens = F.regexp_extract_all(F.regexp_replace(sequence, r"^[.]?(?:\([^)]*\))*", ""), F.lit(r"([A-Z](?:\([^)]*\))*)"), F.lit(1))
+    codes = lambda text: F.regexp_extract_all(text, F.lit(r"(\([^)]*\))"), F.lit(1))
+    mass = lambda t: _sum_over(F.array(F.substring(t, 1, 1)), RESIDUES) + _sum_over(codes(t), modifications)
+    return F.transform(tokens, lambda t, i: mass(t) + F.when(i == 0, _sum_over(codes(first), modifications)).otherwise(0.0))
+
+
+def ion_series(sequence: Column, kinds: tuple[str, ...] = ("b", "y"), charges: tuple[int, ...] = (1,), losses: tuple[str, ...] = ("",), modifications: Mapping[str, float] = MODIFICATIONS) -> Column:
+    """Fragments of a (modified) sequence as ``array<struct<type, ordinal, loss, charge, mz>>``; fragments with an unknown residue have null ``mz``."""
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x)
+
+    def series(masses: Column, kind: str, loss: str, z: int) -> Column:
+        n = F.size(masses)
+        steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        extra = atoms_mass(ION_ATOMS[kind]) - atoms_mass(LOSSES[loss]) + z * PROTON
+        part = lambda i: F.slice(masses, F.lit(1) if kind in FROM_START else n - i + 1, i)
+        return F.transform(steps, lambda i: F.struct(F.lit(kind).alias("type"), i.alias("ordinal"), F.lit(loss).alias("loss"), F.lit(z).alias("charge"), ((total(part(i)) + extra) / z).alias("mz")))
+
+    # The masses are bound to a variable, so that they are made once and not for each fragment.
+    every = lambda masses: F.concat(*[series(masses, kind, loss, z) for kind in kinds for loss in losses for z in charges])
+    return F.when(sequence.isNotNull(), F.get(F.transform(F.array(residue_masses(sequence, modifications)), every), F.lit(0)))
+
+
+def oxonium_ions(struct: Column, losses: tuple[str, ...] = ("", "H2O")) -> Column:
+    """Singly charged ions of the kinds of monosaccharides in a glycan, as ``array<struct<kind, loss, mz>>``."""
+    kinds = F.array_sort(F.array_distinct(F.regexp_extract_all(struct, F.lit(r"([A-Z])"), F.lit(1))))
+
+    def ions(loss: str) -> Column:
+        return F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.lit(loss).alias("loss"), (_sum_over(F.array(k), MONOSACCHARIDES) - atoms_mass(LOSSES[loss]) + PROTON).alias("mz")))
+
+    return F.concat(*[ions(loss) for loss in losses])

@@ -151,6 +151,24 @@ def peptide_fragments(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.inline(peptides.fragments(F.col("unmodified_sequence")))).withColumn("mz", F.round("mz", 6))
 
 
+_SERIES = " UNION ALL ".join(
+    f"SELECT id, '{kind}' AS type, i::int AS ordinal, '{loss}' AS loss, {z} AS charge, round((list_sum({'m[1:i]' if kind in peptides.FROM_START else 'm[len(m) - i + 1:]'}) + {peptides.atoms_mass(peptides.ION_ATOMS[kind]) - peptides.atoms_mass(peptides.LOSSES[loss]) + z * peptides.PROTON!r}) / {z}, 6) AS mz FROM x"
+    for kind in peptides.ION_ATOMS for loss in ("", "H2O") for z in (1, 2)
+)
+
+
+@QUERIES.add(
+    "fragment_series",
+    rf"""WITH p AS (SELECT DISTINCT id, modified_sequence AS s FROM peptide WHERE modified_sequence IS NOT NULL), r AS (SELECT id, s, regexp_extract_all(regexp_replace(s, '^[.]?((\([^)]*\))*)([A-Z])', '\3\1'), '[A-Z](\([^)]*\))*') AS tokens FROM p),
+m AS (SELECT id, s, list_transform(tokens, lambda t: {_MASS_MAP}[t[1]] + coalesce(list_sum(list_transform(regexp_extract_all(t, '\([^)]*\)'), lambda c: MAP {{{", ".join(f"'{c}': {v}" for c, v in peptides.MODIFICATIONS.items())}}}[c])), 0)) AS m FROM r),
+x AS (SELECT id, m, unnest(generate_series(1, len(m) - 1)) AS i FROM m) {_SERIES}""",
+)
+def fragment_series(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "peptide").where("modified_sequence IS NOT NULL").select("id", "modified_sequence").distinct()
+    series = peptides.ion_series(F.col("modified_sequence"), tuple(peptides.ION_ATOMS), (1, 2), ("", "H2O"))
+    return rows.select("id", F.inline(series)).withColumn("mz", F.round("mz", 6))
+
+
 # Reports. An identification is a part, a run a line status or a supplier's nation.
 
 

@@ -29,3 +29,21 @@ def test_names_and_fragments(rows):
     assert [(i.type, i.ordinal) for i in ions] == [("b", 1), ("b", 2), ("y", 1), ("y", 2)]
     assert abs(ions[0].mz - (97.05276385 + 1.00727646688)) < 1e-6 and abs(ions[2].mz - (128.09496302 + 18.0105646863 + 1.00727646688)) < 1e-6
     assert one(rows, "K", P.fragments) == []
+
+
+def test_ion_series(rows):
+    h, c, n, o = (P.ELEMENTS[e] for e in "HCNO")
+    ions = {(i.type, i.ordinal, i.loss, i.charge): i.mz for i in one(rows, "AC(UniMod:4)K", lambda s: P.ion_series(s, tuple(P.ION_ATOMS), (1, 2), ("", "H2O", "NH3")))}
+    assert len(ions) == 6 * 2 * 3 * 2
+    b2, y1 = 71.03711379 + 103.00918448 + 57.02146374, 128.09496302
+    assert abs(ions["b", 2, "", 1] - (b2 + P.PROTON)) < 1e-9 and abs(ions["a", 2, "", 1] - (b2 - c - o + P.PROTON)) < 1e-9 and abs(ions["c", 2, "", 2] - (b2 + n + 3 * h + 2 * P.PROTON) / 2) < 1e-9
+    assert abs(ions["y", 1, "", 1] - (y1 + 2 * h + o + P.PROTON)) < 1e-9 and abs(ions["x", 1, "H2O", 1] - (y1 + c + 2 * o - 2 * h - o + P.PROTON)) < 1e-9 and abs(ions["z", 1, "", 1] - (y1 - h - n + o + P.PROTON)) < 1e-9
+    start = one(rows, ".(UniMod:1)AK", P.residue_masses)
+    assert abs(start[0] - 71.03711379 - 42.01056469) < 1e-9 and len(start) == 2
+    assert one(rows, "AXK", lambda s: P.ion_series(s, ("b",)))[1].mz is None and one(rows, "K", P.ion_series) == [] and one(rows, None, P.ion_series) is None
+    assert one(rows, "AC(Mine)K", lambda s: P.residue_masses(s, {"(Mine)": 1.0}))[1] == 104.00918448
+
+
+def test_oxonium_ions(rows):
+    ions = {(i.kind, i.loss): i.mz for i in one(rows, "(N(H))", P.oxonium_ions)}
+    assert set(ions) == {("H", ""), ("H", "H2O"), ("N", ""), ("N", "H2O")} and abs(ions["N", ""] - 204.08664897) < 1e-5
