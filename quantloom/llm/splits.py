@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators.skew import frequent_keys, join_by_key
-from quantloom.runtime import MAX_BROADCAST_ROWS, cut, written
+from quantloom.runtime import MAX_BROADCAST_ROWS, cut
 
 #: Edges below which no key can be large enough to matter, so hot keys aren't looked for.
 FEW_EDGES = 1_000_000
@@ -85,56 +85,74 @@ def precursor_sets(precursors: DataFrame, mapping: DataFrame) -> DataFrame:
     return found.join(precursors.select(F.col("id").alias("precursor_id")).distinct(), "precursor_id", "left_semi")
 
 
-def _stratified(m, size, shares: Sequence[float], before=None, need_all=None):
-    """Splits of cells from their rows by label (``m``: cells x labels), grouped iterative stratification and refinement.
+def _stratified(cell, label, n, size, labels: int, shares: Sequence[float], before=None, need_all=None):
+    """Splits of cells from their rows by label, grouped iterative stratification and refinement.
 
-    The label with the fewest outstanding rows comes first; its cells, largest first, go each to the split that needs this
+    ``cell``, ``label`` and ``n`` are the numbers above 0 of the matrix of cells and labels, ``size`` all rows of each cell. The label with the
+    fewest outstanding rows comes first; its cells, largest first, go each to the split that needs this
     label most (then: most rows at all, then the earlier split). Then cells are moved, one at a time, as long as a move brings the rows by
     label and split closer to the wished shares (by the chi-square of all labels, and all rows as a label of ten times the weight).
     ``before``: rows by split and label placed earlier; ``need_all``: rows each split still needs.
     """
     import numpy as np
 
-    k, cells = len(shares), len(m)
+    k, cells = len(shares), len(size)
+    by_cell = np.lexsort((label, cell))
+    cell, label, n = cell[by_cell], label[by_cell], n[by_cell].astype(float)
+    bounds = np.searchsorted(cell, np.arange(cells + 1))
+    own = [slice(bounds[i], bounds[i + 1]) for i in range(cells)]
+    by_label = np.lexsort((cell, -n, label))
+    label_bounds = np.searchsorted(label[by_label], np.arange(labels + 1))
     share = np.asarray(shares, float)[:, None]
-    before = np.zeros((k, m.shape[1])) if before is None else before
+    before = np.zeros((k, labels)) if before is None else before
     need_all = share[:, 0] * size.sum() if need_all is None else np.array(need_all, float)
-    want = share * (m.sum(axis=0) + before.sum(axis=0))
+    left = np.bincount(label, n, labels)
+    want = share * (left + before.sum(axis=0))
     need, wished = want - before, need_all.copy()
-    left, out = m.sum(axis=0), np.ones(cells, bool)
+    out = np.ones(cells, bool)
     place = np.zeros(cells, int)
-    while out.any():
-        open_labels = np.where(left > 0.5)[0]
-        if len(open_labels) == 0:
-            rest, label = np.where(out)[0], None
-        else:
-            label = open_labels[np.argmin(left[open_labels])]
-            rest = np.where(out & (m[:, label] > 0))[0]
-            rest = rest[np.lexsort((rest, -m[rest, label]))]
-        for i in rest:
-            wish = need[:, label] if label is not None else need_all
-            place[i] = s = max(range(k), key=lambda x: (wish[x], need_all[x], -x))
-            need[s] -= m[i]
-            need_all[s] -= size[i]
-            left -= m[i]
-            out[i] = False
-    # Refinement: excess over the wish by split, all rows as the last label.
-    vectors = np.concatenate([m, size[:, None]], axis=1)
-    weight = np.concatenate([1 / np.maximum(want, 1), 10 / np.maximum(share * max(size.sum(), 1), 1)], axis=1)
-    excess = -np.concatenate([need, (wished - np.bincount(place, size, k))[:, None]], axis=1)
-    squares = (vectors**2) @ weight.T
+
+    def put(i: int, wish) -> None:
+        place[i] = s = max(range(k), key=lambda x: (wish[x], need_all[x], -x))
+        need[s, label[own[i]]] -= n[own[i]]
+        need_all[s] -= size[i]
+        left[label[own[i]]] -= n[own[i]]
+        out[i] = False
+
+    while (open_labels := np.flatnonzero(left > 0.5)).size:
+        x = open_labels[np.argmin(left[open_labels])]
+        for i in cell[by_label[label_bounds[x] : label_bounds[x + 1]]]:
+            if out[i]:
+                put(i, need[:, x])
+    for i in np.flatnonzero(out):
+        put(i, need_all)
+    # Refinement: excess over the wish by split, of every label and of all rows.
+    weight, weight_all = 1 / np.maximum(want, 1), 10 / np.maximum(share[:, 0] * max(size.sum(), 1), 1)
+    excess, excess_all = -need, np.bincount(place, size, k) - wished
+    # Where one cell alone holds more of a label than any split's share, only the label's other rows are wished by shares: they cannot make up for it.
+    total = want.sum(axis=0)
+    for e in np.flatnonzero(n > max(shares) * total[label]):
+        x = label[e]
+        fair = share[:, 0] * (total[x] - n[e])
+        fair[place[cell[e]]] += n[e]
+        excess[:, x] += want[:, x] - fair
+        weight[:, x] = 1 / np.maximum(fair, 1)
     moved = True
     while moved:
         moved = False
         for i in np.argsort(-size, kind="stable"):
-            v, own = vectors[i], place[i]
-            pull = (excess * weight) @ v
-            gain = 2 * (pull - pull[own]) + squares[i] + squares[i, own]  # change of the chi-square by moving to each split
-            gain[own] = 0.0
+            at, v, here = label[own[i]], n[own[i]], place[i]
+            w = weight[:, at]
+            pull = (excess[:, at] * w) @ v + excess_all * weight_all * size[i]
+            square = w @ (v * v) + weight_all * size[i] ** 2
+            gain = 2 * (pull - pull[here]) + square + square[here]  # change of the chi-square by moving to each split
+            gain[here] = 0.0
             to = int(np.argmin(gain))
             if gain[to] < -1e-6:
-                excess[own] -= v
-                excess[to] += v
+                excess[here, at] -= v
+                excess[to, at] += v
+                excess_all[here] -= size[i]
+                excess_all[to] += size[i]
                 place[i] = to
                 moved = True
     return place
@@ -146,50 +164,49 @@ def stratify(vectors: dict[str, dict[str, float]], shares: Sequence[float]) -> d
 
     cells = sorted(vectors)
     labels = {label: i for i, label in enumerate(sorted({x for v in vectors.values() for x in v}))}
-    m = np.zeros((len(cells), len(labels)))
-    for i, c in enumerate(cells):
-        for label, n in vectors[c].items():
-            m[i, labels[label]] += n
-    return dict(zip(cells, _stratified(m, m.sum(axis=1), shares).tolist()))
+    entries = [(i, labels[x], n) for i, c in enumerate(cells) for x, n in vectors[c].items() if n]
+    cell, label, n = (np.array([e[j] for e in entries], kind) for j, kind in enumerate((np.int64, np.int64, float)))
+    size = np.bincount(cell, n, len(cells)) if len(cells) else np.zeros(0)
+    return dict(zip(cells, _stratified(cell, label, n, size, len(labels), shares).tolist()))
 
 
 #: Cells of a label at the least, so that a cell is a small part of even a small share of its rows.
 LABEL_CELLS = 32
+#: Numbers (rows of a cell with a label) that reach the driver at once, about 100 MB.
+MAX_NUMBERS = 4_000_000
+
 
+def _placed(vectors: DataFrame, labels: int, max_labels: int, total: int, shares: Sequence[float]) -> dict[int, int]:
+    """Splits of all cells from their vectors ``_cell, _l, n``; labels are numbered by rarity.
 
-def _placed(vectors: DataFrame, passes: int, max_labels: int, total: int, shares: Sequence[float]) -> dict[int, int]:
-    """Splits of all cells from their vectors ``_cell, _l, n``; labels are numbered by rarity, ``max_labels`` to a pass."""
+    One pass takes all labels, as long as there are at most ``max_labels`` and ``MAX_NUMBERS`` numbers; else each takes as many as fit.
+    """
     import numpy as np
 
     spark = vectors.sparkSession
-
-    def filled(frame, names, low: int):
-        m = np.zeros((len(names), max_labels))
-        np.add.at(m, (np.searchsorted(names, frame["key"].to_numpy()), frame["_l"].to_numpy() - low), frame["n"].to_numpy())
-        return m
-
-    if passes > 1:
-        vectors = written(vectors)
-    sizes = vectors.groupBy("_cell").agg(F.sum("n").alias("n")).toPandas().sort_values("_cell")  # a row a cell
+    vectors = cut(vectors)
+    sizes = vectors.groupBy("_cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toPandas().sort_values("_cell")  # a row a cell
     all_cells, all_sizes = sizes["_cell"].to_numpy(), sizes["n"].to_numpy(float)
+    passes = max(-(-labels // max_labels), -(-int(sizes["k"].sum()) // MAX_NUMBERS), 1)
+    step = -(-labels // passes) if labels else 1
     placed: dict[int, int] = {}
     need_all = np.array([share * total for share in shares])
-    for k in range(passes):
-        low = k * max_labels
-        here = vectors.where(F.col("_l").between(low, low + max_labels - 1))
-        before = np.zeros((len(shares), max_labels))
+    for low in range(0, labels, step):
+        width = min(step, labels - low)
+        here = vectors.where(F.col("_l").between(low, low + width - 1))
+        before = np.zeros((len(shares), width))
         if placed:
             known = F.broadcast(spark.createDataFrame(list(placed.items()), "_cell long, _split int"))
             met = here.join(known, "_cell", "left")
-            given = met.where("_split IS NOT NULL").groupBy(F.col("_split").cast("long").alias("key"), "_l").agg(F.sum("n").alias("n")).toPandas()
-            before = filled(given, np.arange(len(shares)), low) if len(given) else before
+            for r in met.where("_split IS NOT NULL").groupBy("_split", "_l").agg(F.sum("n").alias("n")).collect():  # a row a split and label
+                before[r["_split"], r["_l"] - low] = r["n"]
             here = met.where("_split IS NULL")
-        frame = here.select(F.col("_cell").alias("key"), "_l", "n").toPandas()
-        cells = np.unique(frame["key"].to_numpy())
+        frame = here.select("_cell", "_l", "n").toPandas()
+        cells, at = np.unique(frame["_cell"].to_numpy(), return_inverse=True)
         if not len(cells):
             continue
         size = all_sizes[np.searchsorted(all_cells, cells)]
-        place = _stratified(filled(frame, cells, low), size, shares, before, need_all)
+        place = _stratified(at, frame["_l"].to_numpy() - low, frame["n"].to_numpy(), size, width, shares, before, need_all)
         placed |= dict(zip(cells.tolist(), place.tolist()))
         need_all = need_all - np.bincount(place, size, len(shares))
     return placed
@@ -202,16 +219,16 @@ def grouped_splits(
     labels: Sequence[str],
     shares: dict[str, float],
     max_cells: int = 1 << 14,
-    max_labels: int = 256,
+    max_labels: int = 2048,
 ) -> DataFrame:
     """``records`` with a column ``split`` such that all records of an entity share it and ``shares`` hold for all labels.
 
     A record without entity is an entity of its own. An entity with more than a ``max_cells``-th of the
     rows is a cell for itself; all others are put into cells by their rarest label and a hash of
-    the entity, at least ``LABEL_CELLS`` for each label. Labels are never folded: they are taken rarest first, ``max_labels`` in
-    a pass, and a cell is placed in the pass of its rarest label. Of a pass only the vectors of its own cells over its own labels
-    reach the driver (with one pass at most ``max_cells`` times ``max_labels`` numbers); beside these it holds the totals of the labels and
-    the places of the cells. What is left between the wished and the reached shares is at most about a cell, unless an entity is larger.
+    the entity, at least ``LABEL_CELLS`` for each label. Labels are never folded: with more than ``max_labels`` of them, or more than
+    ``MAX_NUMBERS`` numbers in the vectors, they are taken rarest first, in several passes, and a cell is placed in the pass of its rarest label. Of a pass only the
+    vectors of its own cells over its own labels reach the driver; beside these it holds the totals of the labels and the places of the cells. With one
+    pass all labels are met to about a cell, unless an entity is larger; with several, frequent labels depend on cells that were placed for rarer ones.
     """
     names, spark = list(shares), records.sparkSession
     label = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(c) for c in labels]))
@@ -230,7 +247,7 @@ def grouped_splits(
     own = F.broadcast(spark.createDataFrame([(r["_of"], -1 - i) for i, r in enumerate(large)], entities.select("_of", F.lit(0).cast("long").alias("_own")).schema))
     entities = entities.join(own, "_of", "left").select("_of", F.coalesce("_own", cell("_of", "_rarest")).alias("_cell"))
     vectors = counted.join(entities, "_of").select("_cell", "_l", "n").union(alone.groupBy("_cell", "_l").agg(F.count(F.lit(1)).alias("n"))).groupBy("_cell", "_l").agg(F.sum("n").alias("n"))
-    placed = _placed(vectors, -(-len(by_rarity) // max_labels), max_labels, total, [shares[k] for k in names])
+    placed = _placed(vectors, len(by_rarity), max_labels, total, [shares[k] for k in names])
     where = F.broadcast(spark.createDataFrame([(c, names[s]) for c, s in placed.items()] or [(0, names[0])], "_cell long, split string"))
     decided = entities.join(where, "_cell").select("_of", "split")
     out = [*records.columns, "split"]
