@@ -185,9 +185,9 @@ def _placed(vectors: DataFrame, labels: int, max_labels: int, total: int, shares
 
     spark = vectors.sparkSession
     vectors = cut(vectors)
-    sizes = vectors.groupBy("_cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toPandas().sort_values("_cell")  # a row a cell
-    all_cells, all_sizes = sizes["_cell"].to_numpy(), sizes["n"].to_numpy(float)
-    passes = max(-(-labels // max_labels), -(-int(sizes["k"].sum()) // MAX_NUMBERS), 1)
+    sizes = vectors.groupBy("_cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toArrow().sort_by("_cell")  # a row a cell
+    all_cells, all_sizes = sizes["_cell"].to_numpy(), sizes["n"].to_numpy().astype(float)
+    passes = max(-(-labels // max_labels), -(-int(sizes["k"].to_numpy().sum()) // MAX_NUMBERS), 1)
     step = -(-labels // passes) if labels else 1
     placed: dict[int, int] = {}
     need_all = np.array([share * total for share in shares])
@@ -201,7 +201,7 @@ def _placed(vectors: DataFrame, labels: int, max_labels: int, total: int, shares
             for r in met.where("_split IS NOT NULL").groupBy("_split", "_l").agg(F.sum("n").alias("n")).collect():  # a row a split and label
                 before[r["_split"], r["_l"] - low] = r["n"]
             here = met.where("_split IS NULL")
-        frame = here.select("_cell", "_l", "n").toPandas()
+        frame = here.select("_cell", "_l", "n").toArrow()
         cells, at = np.unique(frame["_cell"].to_numpy(), return_inverse=True)
         if not len(cells):
             continue
