@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.runtime import written
+
 
 def precursor_model(rows: DataFrame) -> DataFrame:
     """Rows ``feature_id, prior, evidence, hypothesis`` (true and false) for MS1 and MS2 precursor evidence.
@@ -149,13 +151,21 @@ def propagated(evidence: DataFrame, threshold: float, columns: Sequence[str] = (
     peptidoforms included; rows of one feature that agree in transition, peptidoform, mask, number of peptidoforms and ``columns`` become one with
     the least of each of ``values``. ``evidence`` has feature_id, alignment_group_id, is_aligned (a flag of its own) and all these;
     features that are not aligned pass unchanged. Confident rows are reduced to one per group and item before they meet the features.
+    What a feature gets is a multiple of its own rows and is never shuffled, sorted or aggregated: confident items of a group are numbered,
+    own rows take over the number and the least values of theirs, and a feature that knows its numbers gets all others straight from the join.
     """
     item = ["transition_id", "peptide_id", "bmask", "num_peptidoforms", *columns]
     values = [v for v in values if v in evidence.columns]
     least = [F.min(v).alias(v) for v in values]
-    aligned = evidence.where("is_aligned")
-    best = aligned.where(F.col("pep") <= threshold).groupBy("alignment_group_id", *item).agg(*least)
-    members = aligned.select("alignment_group_id", "feature_id").distinct()
-    every = aligned.select("alignment_group_id", "feature_id", *item, *values).unionByName(members.join(best, "alignment_group_id"))
-    shared = every.groupBy("alignment_group_id", "feature_id", *item).agg(*least)
-    return evidence.where("NOT is_aligned").select(*shared.columns).unionByName(shared)
+    key = ["alignment_group_id", "_item"]  # as one field, so that missing parts of an item are equal and the join's partitions serve the aggregate after it
+    aligned = evidence.where("is_aligned").withColumn("_item", F.struct(*item))
+    best = aligned.where((F.col("pep") <= threshold) & F.col("alignment_group_id").isNotNull()).groupBy(*key).agg(*least)
+    best = written(best.withColumn("_id", F.row_number().over(Window.partitionBy("alignment_group_id").orderBy("_item"))))
+    theirs = best.select(*key, "_id", *[F.col(v).alias(f"_best_{v}") for v in values])
+    same_type = F.col("_item").cast(best.schema["_item"].dataType).alias("_item")  # else the join casts its keys, and the aggregate shuffles once more
+    met = aligned.select("alignment_group_id", same_type, "feature_id", *values).join(theirs, key, "left").groupBy(*key, "feature_id")
+    own = written(met.agg(F.min("_id").alias("_id"), *[F.least(F.min(v), F.min(f"_best_{v}")).alias(v) for v in values]))
+    members = own.repartition("alignment_group_id", "feature_id").groupBy("alignment_group_id", "feature_id").agg(F.collect_list("_id").alias("_own"))
+    others = members.join(best, "alignment_group_id").where(~F.array_contains("_own", F.col("_id")))
+    told = ["alignment_group_id", "feature_id", *[F.col(f"_item.{c}").alias(c) for c in item], *values]
+    return evidence.where("NOT is_aligned").select("alignment_group_id", "feature_id", *item, *values).unionByName(own.select(*told)).unionByName(others.select(*told))

@@ -159,4 +159,4 @@ def propagated_peptidoforms(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_suppkey").alias("alignment_group_id"), F.col("l_orderkey").alias("feature_id"), (F.col("l_orderkey") % 5 != 0).alias("is_aligned"), F.col("l_linenumber").alias("transition_id"),
         (F.col("entity") % 3).cast("int").alias("peptide_id"), F.lit(1).alias("bmask"), (F.col("l_orderkey") % 3 + 1).cast("int").alias("num_peptidoforms"), "pep", F.col("pep1").alias("precursor_peakgroup_pep"),
     )
-    return rounded(bayes.propagated(rows, 0.1))
+    return bayes.propagated(rows, 0.1)  # observations round both values to 4 digits, so 9 digits of the many rows that come out are the same

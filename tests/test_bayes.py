@@ -78,3 +78,25 @@ def test_peptidoforms(rows):
     assert set(got) == {7, 8} and abs(got[7].pep - (1 - like[7] / total)) < 1e-12 and abs(got[7].qvalue - got[7].pep) < 1e-12
     assert abs(got[8].qvalue - (got[7].pep + got[8].pep) / 2) < 1e-12
     assert bayes.peptidoform_inference(transitions.limit(0), precursors).count() == 0
+
+
+def test_propagated_rows_are_not_shuffled(rows):
+    """What the features of a group get is a multiple of their rows; it has to leave the join as it is, with the results of the plain definition."""
+    draw = np.random.default_rng(5)
+    some = lambda *given: given[draw.integers(len(given))]
+    kinds = [(t, p, 1, n, x) for t in (1, 2, 3) for p in (7, None) for n in (1, 2) for x in ("a", None)]
+    data = [(some(1, 2, 3, None), some(*range(12)), some(True, True, True, False, None), *some(*kinds), some(0.05, 0.1, 0.10001, 0.3, None), some(0.2, 0.4, None)) for _ in range(400)]
+    schema = "alignment_group_id long, feature_id long, is_aligned boolean, transition_id int, peptide_id int, bmask int, num_peptidoforms int, extra string, pep double, precursor_peakgroup_pep double"
+    aligned = [r for r in data if r[2]]
+    want = [(*r[:2], *r[3:]) for r in data if r[2] is False]
+    for group, feature in {r[:2] for r in aligned}:
+        met = {}
+        for r in aligned:
+            if r[0] == group and (r[1] == feature or group is not None and r[8] is not None and r[8] <= 0.1):
+                met.setdefault(r[3:8], []).append(r[8:])
+        want += [(group, feature, *item, *[min((x for x in v if x is not None), default=None) for v in zip(*values)]) for item, values in met.items()]
+    got = bayes.propagated(rows(schema, data), 0.1, ["extra"])
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+    assert len(want) > len(data)
+    above = got._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above and "Sort [" not in above
